@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from sylvan.llm.license_scan import op7_license
 from sylvan.llm.media import op1_matroska
+from sylvan.llm.secret_scan import op9_secrets
 from sylvan.llm.sp_codec import op6_sentencepiece
 
-QUERIES = {"op1_matroska": op1_matroska, "op6_sentencepiece": op6_sentencepiece}
+QUERIES = {"op1_matroska": op1_matroska, "op6_sentencepiece": op6_sentencepiece, "op7_license": op7_license, "op9_secrets": op9_secrets}
 ORACLE: dict[str, str] = {}
