@@ -7,7 +7,8 @@ from sylvan.llm.media import op1_matroska
 from sylvan.llm.pii import op10_pii
 from sylvan.llm.secret_scan import op9_secrets
 from sylvan.llm.sp_codec import op6_sentencepiece
+from sylvan.llm.toxicity import op2_toxicity
 from sylvan.llm.warc import OP8_SQL, op8_warc
 
-QUERIES = {"op1_matroska": op1_matroska, "op6_sentencepiece": op6_sentencepiece, "op7_license": op7_license, "op8_warc": op8_warc, "op9_secrets": op9_secrets, "op10_pii": op10_pii}
+QUERIES = {"op1_matroska": op1_matroska, "op2_toxicity": op2_toxicity, "op6_sentencepiece": op6_sentencepiece, "op7_license": op7_license, "op8_warc": op8_warc, "op9_secrets": op9_secrets, "op10_pii": op10_pii}
 ORACLE: dict[str, str] = {"op8_warc": OP8_SQL}
