@@ -542,6 +542,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return full.unionByName(none)
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all columns, of which one of each component stays: the one of the smallest id.
+
+    Of several rows with that id one stays. Of rows without id whose component has no id
+    one of each class stays. Rows without words are in no group and all stay.
+    """
+    kept = near_duplicates(df, id_col, text_col).where("n_shingles > 0")
+    first = kept.where("doc_id = component_id").groupBy("doc_id").agg(F.min("class_id").alias("_key"))
+    nameless = kept.where("component_id is null").select("doc_id", F.col("class_id").alias("_key")).distinct()
+    stays = first.unionByName(nameless).select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_nil"), "_key")
+
+    def key(_: object, *columns: list) -> dict:
+        out = dict(zip(names, columns))
+        sets = [shingles(t or "") for t in out[text_col]]
+        out["_key"] = [class_of(s) if len(s) else None for s in sets]
+        return out
+
+    names = df.columns
+    marked = map_columns(df, key, T.StructType([*df.schema.fields, T.StructField("_key", T.LongType())]))
+    wordless = marked.where("_key is null").drop("_key")
+    words = marked.where("_key is not null")
+    own = words.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(0))).withColumn("_nil", F.col(id_col).isNull())
+    # equal keys meet once: the join's partitioning serves the removal of repeated rows
+    chosen = own.join(stays, ["_id", "_nil", "_key"]).dropDuplicates(["_id", "_nil", "_key"])
+    return chosen.select(*names).unionByName(wordless)
+
+
 def op3_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "n_similar", "component_id")
 
