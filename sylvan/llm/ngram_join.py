@@ -11,9 +11,12 @@ when 100 * |intersection| >= 70 * |union|.
    A group of more than BLOCK classes is split into blocks by hash.
 4. Candidates. First shingles meet by hash; what comes out is not pairs but (class, group):
    the class may link with a member, by the bounds on size and position.
-5. Matrix. A block's row has the union of its members' shingles. A visiting class opens the
-   block only if at least 0.7 of its own shingles lie in the union and the sizes fit; then
-   exact intersections come from one product of the block's incidence matrix.
+5. Matrix. A group's row has the union of its members' shingles, as a bitmap; a visit stays
+   only if the bitmap lets enough of the class's shingles lie in the union. Groups that
+   visits still connect are laid together in one block while they have at most TOGETHER
+   classes; larger ones keep to their own blocks, which visitors open only if at least 0.7
+   of their own shingles lie in the block's exact union and the sizes fit. Exact
+   intersections come from one product of the block's incidence matrix.
 6. Links are counted with class sizes; a spanning forest of each block's links goes to
    connected components (alternating stars, written out each round).
 
@@ -40,7 +43,7 @@ from sylvan.llm.common import Staged, arrow_schema, documents, lookup, map_colum
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 U64 = np.uint64
-HEAVY_MAX, HEAVY_LOCAL, BLOCK, FLUSH_TOKENS, FLUSH_DOCS, LONG_RUN = 1_000_000, 4, 128, 1_500_000, 60_000, 512
+HEAVY_MAX, HEAVY_LOCAL, BLOCK, FLUSH_TOKENS, FLUSH_DOCS, LONG_RUN, MAP_LEAST, MAP_MOST, TOGETHER = 1_000_000, 4, 128, 1_500_000, 60_000, 512, 512, 1 << 18, 512
 PERCENT = 70
 
 
@@ -154,15 +157,15 @@ def pack_prefixes(docs: DataFrame, order, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = order.value
         seen: set[int] = set()
-        held: list[tuple[int, int, np.ndarray]] = []
+        held: list[tuple[int, int, np.ndarray, bytes]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            cid = np.array([c for c, _, _ in held], np.int64)
-            n = np.array([k for _, k, _ in held], np.uint32)
-            group = np.array([p[0] for _, _, p in held], U64)
-            lengths = np.array([len(p) for _, _, p in held])
-            tokens = np.concatenate([p for _, _, p in held])
+            cid = np.array([h[0] for h in held], np.int64)
+            n = np.array([h[1] for h in held], np.uint32)
+            group = np.array([h[2][0] for h in held], U64)
+            lengths = np.array([len(h[2]) for h in held])
+            tokens = np.concatenate([h[2] for h in held])
             doc = np.repeat(np.arange(len(held)), lengths)
             pos = np.minimum(np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths), 65535).astype(np.uint16)
             bucket = ((tokens >> U64(32)) % U64(buckets)).astype(np.int32)
@@ -173,9 +176,10 @@ def pack_prefixes(docs: DataFrame, order, buckets: int) -> DataFrame:
                 at = by[cuts[b] : cuts[b + 1]]
                 if len(at):
                     own, local = np.unique(doc[at], return_inverse=True)
-                    head = np.array([len(own), len(at)], np.uint32).tobytes()
+                    homes = np.flatnonzero(pos[at] == 0)
+                    head = np.array([len(own), len(at), len(homes)], np.uint32).tobytes()
                     out_b.append(b)
-                    out.append(head + cid[own].tobytes() + group[own].tobytes() + n[own].tobytes() + (tokens[at] & U64(0xFFFFFFFF)).astype(np.uint32).tobytes() + pos[at].tobytes() + local.astype(np.uint16).tobytes())
+                    out.append(head + cid[own].tobytes() + group[own].tobytes() + n[own].tobytes() + (tokens[at] & U64(0xFFFFFFFF)).astype(np.uint32).tobytes() + pos[at].tobytes() + local.astype(np.uint16).tobytes() + np.array([len(held[k][3]) for k in doc[at[homes]].tolist()], np.uint16).tobytes() + b"".join([held[k][3] for k in doc[at[homes]].tolist()]))
             return pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out, pa.binary())], schema=schema)
 
         for batch in batches:
@@ -188,7 +192,7 @@ def pack_prefixes(docs: DataFrame, order, buckets: int) -> DataFrame:
                     continue
                 seen.add(c)
                 p = o.prefix(s)
-                held.append((c, len(s), p))
+                held.append((c, len(s), p, bitmap(s)))
                 size += len(p)
                 if size > FLUSH_TOKENS or len(held) >= FLUSH_DOCS:
                     yield flush()
@@ -199,12 +203,27 @@ def pack_prefixes(docs: DataFrame, order, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, blob binary")
 
 
-def unpack(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    """token, cid, group, n, position of every entry of the blobs."""
+def bitmap(s: np.ndarray) -> bytes:
+    """Bits of the shingles' hashes; the width follows the size and halves by folding."""
+    width = min(MAP_MOST, max(MAP_LEAST, 1 << (4 * len(s)).bit_length()))
+    bits = np.zeros(width, bool)
+    bits[(s >> U64(13)) & U64(width - 1)] = True
+    return np.packbits(bits).tobytes()
+
+
+def fold(maps: list[bytes]) -> np.ndarray:
+    """The maps, one a row, at the width of the narrowest."""
+    width = min(map(len, maps))
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(m, U64).reshape(-1, width // 8), axis=0) for m in maps])
+
+
+def unpack(blobs: list[bytes]) -> tuple:
+    """token, cid, group, n, position of every entry of the blobs; bitmaps of the entries at position 0, in their order."""
     parts: list[list[np.ndarray]] = [[], [], [], [], []]
+    maps: list[bytes] = []
     for b in blobs:
-        d, k = np.frombuffer(b, np.uint32, 2).tolist()
-        at = 8
+        d, k, homes = np.frombuffer(b, np.uint32, 3).tolist()
+        at = 12
         cid = np.frombuffer(b, np.int64, d, at)
         group = np.frombuffer(b, U64, d, at + 8 * d)
         n = np.frombuffer(b, np.uint32, d, at + 16 * d)
@@ -212,7 +231,12 @@ def unpack(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
         local = np.frombuffer(b, np.uint16, k, at + 6 * k)
         for p, x in zip(parts, (np.frombuffer(b, np.uint32, k, at), cid[local], group[local], n[local].astype(np.int64), np.frombuffer(b, np.uint16, k, at + 4 * k).astype(np.int64))):
             p.append(x)
-    return tuple(np.concatenate(p) for p in parts)
+        at += 8 * k
+        start = at + 2 * homes
+        for size in np.frombuffer(b, np.uint16, homes, at).tolist():
+            maps.append(b[start : start + size])
+            start += size
+    return *(np.concatenate(p) for p in parts), maps
 
 
 def meetings(token: np.ndarray, cid: np.ndarray, group: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,26 +289,71 @@ def meetings(token: np.ndarray, cid: np.ndarray, group: np.ndarray, n: np.ndarra
     return pairs[0], pairs[1]
 
 
+MET = "kind int, cid long, grp long, low long, high long, bits binary"
+
+
 def groups_and_visits(packed: DataFrame, buckets: int) -> DataFrame:
-    """(kind 0, cid, grp) of each class and (kind 1, cid, grp) of each visit."""
-    schema = arrow_schema(T.StructType.fromDDL("kind int, cid long, grp long"))
+    """The matrix and what may open it.
+
+    kind 0: a class, its group, size (low) and bitmap; kind 1: a visit of a class to a
+    group; kind 2: a group with its number of members (cid), least and largest size and
+    the bitmap of its union. A group's members meet where their first shingle is kept.
+    """
+    schema = arrow_schema(T.StructType.fromDDL(MET))
+
+    def rows(kind: int, cid: np.ndarray, grp: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None, maps: list[bytes] | None = None) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(cid), 20_000):
+            at = slice(k, k + 20_000)
+            n = len(cid[at])
+            nothing = pa.nulls(n, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(signed(cid[at])), pa.array(signed(grp[at])), nothing if low is None else pa.array(low[at]), nothing if high is None else pa.array(high[at]), pa.nulls(n, pa.binary()) if maps is None else pa.array(maps[at], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [b for batch in batches for b in batch.column(0).to_pylist()]
         if not blobs:
             return
-        token, cid, group, n, pos = unpack(blobs)
+        token, cid, group, n, pos, maps = unpack(blobs)
         blobs.clear()
-        first = pos == 0
-        homes = np.unique(np.stack([cid[first].view(U64), group[first]]), axis=1)
-        # a class that several tasks met is one entry
-        c, g = meetings(token, cid, group, n, pos)
-        for kind, a, b in ((0, homes[0], homes[1]), (1, c, g)):
-            for k in range(0, len(a), 50_000):
-                x, y = signed(a[k : k + 50_000]), signed(b[k : k + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x), pa.array(y)], schema=schema)
+        first = np.flatnonzero(pos == 0)
+        # a class that several tasks met is one row
+        _, once = np.unique(cid[first], return_index=True)
+        c, g, size, maps = cid[first][once].view(U64), group[first][once], n[first][once], [maps[k] for k in once.tolist()]
+        yield from rows(0, c, g, size, None, maps)
+        by = np.argsort(g, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], g[by][1:] != g[by][:-1]])) if len(g) else np.empty(0, np.int64)
+        if len(starts):
+            yield from rows(2, np.diff(np.append(starts, len(g))).astype(U64), g[by][starts], np.minimum.reduceat(size[by], starts), np.maximum.reduceat(size[by], starts), [maps[by[a]] if b - a == 1 else np.bitwise_or.reduce(fold([maps[k] for k in by[a:b].tolist()]), axis=0).tobytes() for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(by)])])
+        yield from rows(1, *meetings(token, cid, group, n, pos))
+
+    return packed.repartitionById(buckets, "bucket").select("blob").mapInArrow(run, MET)
 
-    return packed.repartitionById(buckets, "bucket").select("blob").mapInArrow(run, "kind int, cid long, grp long")
+
+def screen(met: DataFrame) -> DataFrame:
+    """(cid, own, grp): visits that the matrix doesn't rule out.
+
+    Of a visitor's n shingles at least those of its bits that the union lacks are outside
+    the union. With a single member the bits of both that differ bound it more tightly.
+    """
+    visits = met.where("kind = 1").select("cid", "grp").distinct()
+    classes = met.where("kind = 0").select("cid", F.col("grp").alias("own"), F.col("low").alias("n"), F.col("bits").alias("bits"))
+    groups = met.where("kind = 2").select("grp", F.col("cid").alias("members"), "low", "high", F.col("bits").alias("union"))
+    every = lookup(lookup(visits, groups, ["grp"]), classes, ["cid"]).select("cid", "own", "grp", "members", "low", "high", "n", "bits", "union")
+
+    def run(_: object, cid: list, own: list, grp: list, members: list, low: list, high: list, n: list, bits: list, union: list) -> dict:
+        lacks, differ = [], []
+        for a, b in zip(bits, union):
+            x, u = fold([a, b])
+            lacks.append(int(np.bitwise_count(x & ~u).sum()))
+            differ.append(int(np.bitwise_count(x ^ u).sum()))
+        n, low, high, members = (np.array(v) for v in (n, low, high, members))
+        inside = n - np.array(lacks)
+        both = (n + low - np.array(differ)) // 2
+        least = need(n, np.maximum(low, -(-PERCENT * n // 100)))
+        keep = (inside >= least) & (PERCENT * n <= 100 * high) & (PERCENT * low <= 100 * n) & ((members > 1) | (both >= need(n, low)))
+        at = np.flatnonzero(keep).tolist()
+        return {"cid": [cid[k] for k in at], "own": [own[k] for k in at], "grp": [grp[k] for k in at]}
+
+    return map_columns(every, run, "cid long, own long, grp long")
 
 
 def bloom_of(ids: DataFrame, bits: int = 26) -> bytes:
@@ -514,18 +583,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = meta.where("n > 0").groupBy("cid").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least"))
 
     met = Staged(groups_and_visits(pack_prefixes(texts, order, buckets), buckets), "visits").df
-    homes = met.where("kind = 0").select("cid", "grp").distinct()
-    visits = met.where("kind = 1").select("cid", "grp").distinct()
-    counts = homes.groupBy("grp").agg(F.count("*").alias("members"))
-    visited = visits.groupBy("grp").agg(F.lit(1).alias("visited"))
-    # groups with something to compare, and their blocks
-    info = Staged(counts.join(visited, "grp", "left").where("members > 1 or visited = 1").select("grp", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "groups").df
+    visits = Staged(screen(met), "screened").df
+    homes = met.where("kind = 0").select("cid", "grp")
+    members = met.where("kind = 2").select("grp", F.col("cid").alias("members"))
+    # groups that visits connect are laid together, so that a set moves once
+    roots = components(visits.select(F.col("own").alias("a"), F.col("grp").alias("b"))).withColumnRenamed("cid", "grp")
+    joint = members.join(roots, "grp", "left").withColumn("root", F.coalesce("root", "grp"))
+    sizes = joint.groupBy("root").agg(F.sum("members").alias("total"))
+    info = Staged(lookup(joint, sizes.where("total > 1"), ["root"]).select("grp", "root", "members", "total"), "groups").df
+    near = info.where(F.col("total") <= TOGETHER).select("grp", "root")
+    far = info.where(F.col("total") > TOGETHER).select("grp", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    small = lookup(homes, near, ["grp"]).select("cid", F.struct(F.col("root").alias("grp"), F.lit(0).alias("sub"), F.lit(0).alias("part")).alias("t"))
+    # larger ones keep to their groups, in blocks, and are visited
     sub = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    own = lookup(homes, info, ["grp"]).select("cid", "grp", sub.alias("home"))
-    members = own.select("cid", F.struct("grp", F.col("home").alias("sub"), F.lit(0).alias("part")).alias("t"))
+    own = lookup(homes, far, ["grp"]).select("cid", "grp", sub.alias("home"))
+    large = own.select("cid", F.struct("grp", F.col("home").alias("sub"), F.lit(0).alias("part")).alias("t"))
     inside = own.where("home > 0").select("cid", F.explode(F.transform(F.sequence(F.lit(0), F.col("home") - 1), lambda k: F.struct(F.col("grp"), k.alias("sub"), F.lit(1).alias("part")))).alias("t"))
-    across = lookup(visits, info, ["grp"]).select("cid", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.col("grp"), k.alias("sub"), F.lit(1).alias("part")))).alias("t"))
-    targets = Staged(members.unionByName(inside).unionByName(across).join(classes.select("cid", "weight"), "cid").select("cid", "weight", "t.*"), "targets").df
+    across = lookup(visits.select("cid", "grp"), far, ["grp"]).select("cid", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.col("grp"), k.alias("sub"), F.lit(1).alias("part")))).alias("t"))
+    every = small.unionByName(large).unionByName(inside).unionByName(across)
+    targets = Staged(every.join(classes.select("cid", "weight"), "cid").select("cid", "weight", "t.*"), "targets").df
 
     wanted = spark.sparkContext.broadcast(bloom_of(targets.select("cid").distinct()))
     sets = sets_of(texts, wanted).dropDuplicates(["cid"])
