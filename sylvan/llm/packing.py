@@ -1,6 +1,6 @@
 """Packing along a space-filling curve.
 
-Each document's hashed word vector is projected to three dimensions, its place on a
+Each document's vector of hashed trigrams is projected to three dimensions, its place on a
 Hilbert curve becomes its key, and documents are range-partitioned by key. Neighbours on
 the curve are packed one after another into sequences, cut wherever a sequence is full.
 What is left at the end of a range is laid out in sequences of powers of two, which need
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,14 +33,21 @@ from pyspark.sql import types as T
 
 from sylvan.llm.common import arrow_schema, doc_text, documents, map_columns
 
-END, LENGTH, BITS, TIE = 2, 4096, 10, 20
+END, LENGTH, BITS, TIE, GRAM_BITS = 2, 4096, 10, 20, 12
+#: Characters whose lower case is one character whatever stands beside it, and that stay as they are in NFC.
+FOLDS = re.compile("[\x00-\x7f\u00c0-\u012f\u0132-\u0148\u014a-\u017e]*")
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class TokenTable(dict):
-    """Ids of the stretches between spaces and line feeds, each tokenized once, as 16-bit numbers."""
+    """Ids of the stretches between spaces and line feeds, each tokenized once, as 16-bit numbers.
 
-    def __init__(self, path: str, limit: int = 500_000):
+    The tokenizer lower-cases and splits letters from points and commas, so a stretch is
+    looked up in lower case, and one that ends in points or commas is put together from
+    its word and its end. Case is folded here only where that is the same for both sides.
+    """
+
+    def __init__(self, path: str, limit: int = 900_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -47,23 +55,49 @@ class TokenTable(dict):
         self.tokenizer = Tokenizer.from_file(path)
         assert self.tokenizer.get_vocab_size() <= 1 << 16
         self.limit = limit
-
-    def fill(self, texts: list[str]) -> None:
-        seen = {c for t in texts for c in t.replace("\n", " ").split(" ")}
+        # what the short cuts rest on is asked of the tokenizer, not assumed
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.folds = ids("Ab CÉ\nßx") == ids("ab cé ßx")
+        self.splits = all(ids("ab" + t) == ids("ab") + ids(t) for t in (".", ",", "..", ",.", ".,."))
+
+    def stretches(self, text: str) -> list[str]:
+        if self.folds and (text.isascii() or FOLDS.fullmatch(text)) and "<|" not in text:
+            text = text.lower()
+        return text.replace("\n", " ").split(" ")
+
+    def fill(self, texts: list[str]) -> list[list[str]]:
+        """Stretches of each text, after the table has all short ones."""
+        own = [self.stretches(t) for t in texts]
+        seen = {c for t in own for c in t}
         new = [c for c in seen - self.keys() if len(c) <= 256]
         if len(self) + len(new) > self.limit:
             self.clear()
             new = [c for c in seen if len(c) <= 256]
-        for k in range(0, len(new), 8192):
-            part = new[k : k + 8192]
+        ends: list[tuple[str, str, str]] = []
+        plain: dict[str, None] = {}
+        for c in new:
+            base = c.rstrip(".,") if self.splits else c
+            if base and base != c and base[-1].isalpha() and FOLDS.fullmatch(base[-1]):
+                ends.append((c, base, c[len(base) :]))
+                for x in ends[-1][1:]:
+                    if x not in self:
+                        plain[x] = None
+            else:
+                plain[c] = None
+        words = list(plain)
+        for k in range(0, len(words), 8192):
+            part = words[k : k + 8192]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self[c] = np.array(e.ids, "<u2").tobytes()
+        for c, base, tail in ends:
+            self[c] = self[base] + self[tail]
+        return own
 
     def __missing__(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self.__getitem__, self.stretches(text)))
 
 
 @functools.lru_cache(2)
@@ -71,17 +105,9 @@ def token_table(path: str) -> TokenTable:
     return TokenTable(path)
 
 
-class WordHash(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) & 0xFFFF
-        return h
-
-
 @functools.lru_cache(1)
-def projection(seed: int = 5) -> tuple[WordHash, np.ndarray]:
-    return WordHash(), np.random.default_rng(seed).normal(0, 1, (1 << 16, 3)).astype(np.float32)
+def projection(seed: int = 5) -> np.ndarray:
+    return np.random.default_rng(seed).normal(0, 1, (1 << GRAM_BITS, 3))
 
 
 def hilbert(x: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -113,17 +139,18 @@ def hilbert(x: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def keys_of(ids: list, texts: list[str]) -> list[int]:
-    """Hilbert place of each text's projected word vector, then bits of a hash of id and text."""
-    table, r = projection()
+    """Hilbert place of each text's projected vector of hashed byte trigrams, then bits of a hash of id and text."""
+    r = projection()
     points = np.zeros((len(texts), 3))
     ties = np.empty(len(texts), np.int64)
     for k, (i, text) in enumerate(zip(ids, texts)):
-        at = np.fromiter(map(table.__getitem__, text.split()), np.int64)
-        if len(at):
-            at, tf = np.unique(at, return_counts=True)
-            w = 1 + np.log(tf)
-            points[k] = w @ r[at] / np.sqrt(w @ w)
-        ties[k] = xxhash.xxh32_intdigest(f"{i} {xxhash.xxh64_hexdigest(text.encode('utf-8', 'surrogatepass'))}") >> (32 - TIE)
+        raw = text.encode("utf-8", "surrogatepass")
+        if raw:
+            x = np.frombuffer(raw.ljust(3), np.uint8).astype(np.uint32)
+            gram = (x[:-2] * np.uint32(0x9E3779B1) ^ x[1:-1] * np.uint32(0x85EBCA6B) ^ x[2:] * np.uint32(0xC2B2AE35)) >> np.uint32(32 - GRAM_BITS)
+            w = np.log1p(np.bincount(gram, minlength=1 << GRAM_BITS))
+            points[k] = w @ r / np.sqrt(w @ w)
+        ties[k] = xxhash.xxh32_intdigest(f"{i} {xxhash.xxh64_hexdigest(raw)}") >> (32 - TIE)
     # each coordinate is about normal; the logistic curve spreads it over the cells
     cells = np.clip((1 << BITS) / (1 + np.exp(-1.702 * points)), 0, (1 << BITS) - 1).astype(np.int64)
     return (hilbert(cells) << TIE | ties).tolist()
@@ -192,9 +219,9 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     bounds = np.array(sorted(set(keys.approxQuantile("key", [k / n for k in range(1, n)], 1 / (8 * n)))) if n > 1 else [])
 
     def tokenize(table: TokenTable, ids: list, texts: list) -> dict:
-        table.fill(texts)
+        own = table.fill(texts)
         key = np.array(keys_of(ids, texts))
-        return {"bucket": np.searchsorted(bounds, key, "right").astype(np.int32).tolist(), "key": key.tolist(), "doc_id": ids, "h": [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 for t in texts], "ids": [table.encode(t) for t in texts]}
+        return {"bucket": np.searchsorted(bounds, key, "right").astype(np.int32).tolist(), "key": key.tolist(), "doc_id": ids, "h": [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 for t in texts], "ids": [b"".join(map(table.__getitem__, x)) for x in own]}
 
     tokens = map_columns(docs, tokenize, "bucket int, key long, doc_id long, h long, ids binary", lambda: token_table(tokenizer_path))
     ranged = tokens.repartitionById(n, "bucket").sortWithinPartitions("bucket", "key", "doc_id", "h").select("bucket", "doc_id", "ids")
