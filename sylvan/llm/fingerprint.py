@@ -1,12 +1,12 @@
 """Document fingerprints: invertible Bloom lookup tables of paragraph digests.
 
-A text is cut into paragraphs at line feeds; paragraphs of more than 24 words are cut
-further where a word's hash says so, so an insertion moves no other cut. The distinct
+A text is cut into paragraphs at line feeds; lines of more than 160 bytes are cut further
+after spaces where the bytes before say so, so an insertion moves no other cut. The distinct
 paragraph digests fill the cells of a table: each digest is added to three cells as a
 count, an exclusive-or of digests and one of check sums. Tables of two versions subtract
 cell by cell and peeling recovers the digests that only one of them has. Where peeling
-fails, tables of twice the size are built, until it succeeds; at more cells than digests
-allow to fail, the sets are compared outright.
+fails, larger tables are built, until it succeeds; at many more cells than digests the sets
+are compared outright.
 
 The fingerprint is the smallest table, in hexadecimal, with the number of digests;
 likeness is the shared part of both texts' digests (Dice), from their numbers and the recovered
@@ -21,7 +21,6 @@ table gives an empty table; texts are read whole; only the named columns are rea
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,42 +32,44 @@ from pyspark.sql import types as T
 
 from sylvan.llm.common import arrow_schema, doc_text, documents, prepare
 
-CELLS, HASHES, LONG_PARAGRAPH, CUT_MASK = 24, 3, 24, 7
-WORD = re.compile(r"\S+")
+CELLS, HASHES, LONG_PARAGRAPH, CUT_BITS = 24, 3, 160, 3
 FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_paragraphs long, cells_edited long"
 
 
-def paragraphs(text: str) -> list[str]:
-    """Paragraphs, the long ones cut after words whose hash ends in three zero bits."""
-    out = []
-    for line in text.split("\n"):
-        words = WORD.findall(line)
-        if not words:
-            continue
-        if len(words) <= LONG_PARAGRAPH:
-            out.append(" ".join(words))
-            continue
-        part: list[str] = []
-        for w in words:
-            part.append(w)
-            if not hash_word(w) & CUT_MASK:
-                out.append(" ".join(part))
-                part = []
+def cuts(raw: np.ndarray) -> np.ndarray:
+    """Where paragraphs end: at every line feed, and in lines of more than LONG_PARAGRAPH bytes after spaces whose last four bytes hash so."""
+    feeds = np.flatnonzero(raw == 10)
+    spaces = np.flatnonzero(raw == 32)
+    spaces = spaces[spaces >= 4]
+    if not len(spaces):
+        return feeds
+    b = raw.astype(np.uint32)
+    h = b[spaces - 1] * np.uint32(0x9E3779B1) ^ b[spaces - 2] * np.uint32(0x85EBCA6B) ^ b[spaces - 3] * np.uint32(0xC2B2AE35) ^ b[spaces - 4] * np.uint32(0x27D4EB2F)
+    spaces = spaces[(h >> np.uint32(32 - CUT_BITS)) == 0]
+    edges = np.concatenate([[-1], feeds, [len(raw)]])
+    line = np.searchsorted(edges, spaces)
+    spaces = spaces[edges[line] - edges[line - 1] > LONG_PARAGRAPH]
+    return np.sort(np.concatenate([feeds, spaces]))
+
+
+def paragraphs(text: str) -> list[bytes]:
+    """Paragraphs in UTF-8 without outer white space, the long ones cut further."""
+    raw = text.encode("utf-8", "surrogatepass")
+    out, at = [], 0
+    for cut in [*cuts(np.frombuffer(raw, np.uint8)).tolist(), len(raw)]:
+        part = raw[at:cut].strip()
         if part:
-            out.append(" ".join(part))
+            out.append(part)
+        at = cut
     return out
 
 
-def hash_word(w: str) -> int:
-    return xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass"))
-
-
 def digests(text: str) -> np.ndarray:
-    """Distinct 64-bit paragraph digests, sorted; a text without words but with characters has one of its own."""
-    own = paragraphs(text)
-    if not own and text:
-        own = ["\0" + text]
-    return np.unique(np.array([xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass")) for p in own], np.uint64))
+    """Distinct 64-bit paragraph digests, sorted; a text of white space alone has one of its own."""
+    if not text:
+        return np.empty(0, np.uint64)
+    own = paragraphs(text) or [b"\0" + text.encode("utf-8", "surrogatepass")]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own)))
 
 
 def mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -128,30 +129,33 @@ class Iblt:
         return f"{n:x}." + self.count.astype(">i2").tobytes().hex() + "." + self.keys.astype(">u8").tobytes().hex() + "." + (self.checks.astype(np.uint32)).astype(">u4").tobytes().hex()
 
 
-def difference(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> tuple[set[int], set[int], int]:
-    """Digests only in a and only in b, and the cells that it took; each failure doubles the tables."""
-    while cells <= 8 * (len(a) + len(b) + CELLS):
-        if (out := Iblt(a, cells).minus(Iblt(b, cells)).peel()) is not None:
+def difference(a: np.ndarray, b: np.ndarray, first: tuple[Iblt, Iblt] | None = None, cells: int = CELLS) -> tuple[set[int], set[int], int]:
+    """Digests only in a and only in b, and the cells that it took.
+
+    ``first`` has the fingerprints' own tables. A table that fails is followed by one with
+    room for every digest to differ, and that by tables of twice the size.
+    """
+    if abs(len(a) - len(b)) > cells:  # more digests differ than cells can tell
+        first, cells = None, room(a, b)
+    while cells <= 16 * (len(a) + len(b) + CELLS):
+        x, y = first or (Iblt(a, cells), Iblt(b, cells))
+        if (out := x.minus(y).peel()) is not None:
             return *out, cells
-        cells *= 2
+        first, cells = None, max(2 * cells, room(a, b))
     return set(np.setdiff1d(a, b).tolist()), set(np.setdiff1d(b, a).tolist()), cells
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
-    left, right, cells = difference(a, b, first_cells(len(a), len(b)))
+def room(a: np.ndarray, b: np.ndarray) -> int:
+    return CELLS + int(1.5 * (len(a) + len(b)))
+
+
+def likeness(a: np.ndarray, b: np.ndarray, first: tuple[Iblt, Iblt] | None = None) -> tuple[float, int]:
+    left, right, cells = difference(a, b, first)
     both = len(a) - len(left)
     every = 2 * both + len(left) + len(right)
     return (2 * both / every if every else 1.0), cells
 
 
-def first_cells(a: int, b: int) -> int:
-    """The smallest table, or so many cells as the difference in number alone would need."""
-    cells = CELLS
-    while cells < 1.5 * abs(a - b):
-        cells *= 2
-    return cells
-
-
 def edit(text: str, following: str) -> str:
     """The last half of the code points replaced by as many first ones of the following text, or all that it has."""
     half = len(text) // 2
@@ -194,7 +198,8 @@ def fingerprint_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     break
                 if waiting is None and halo:
                     break  # a range without rows of its own
-                here = (doc_id, text, digests(text))
+                own = digests(text)
+                here = (doc_id, text, own, Iblt(own, CELLS))
                 if waiting is not None:
                     rows.append(row(waiting, here))
                 first = first or here
@@ -208,12 +213,13 @@ def fingerprint_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def row(here: tuple, following: tuple) -> tuple:
-    doc_id, text, own = here
+    doc_id, text, own, table = here
     edited = edit(text, following[1])
     other = digests(edited)
-    near_edited, cells = likeness(own, other)
-    near_next, _ = likeness(own, following[2])
-    return (doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), Iblt(own, CELLS).hex(len(own)), Iblt(other, CELLS).hex(len(other)), near_edited, near_next, len(own), cells)
+    other_table = Iblt(other, CELLS)
+    near_edited, cells = likeness(own, other, (table, other_table))
+    near_next, _ = likeness(own, following[2], (table, following[3]))
+    return (doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), table.hex(len(own)), other_table.hex(len(other)), near_edited, near_next, len(own), cells)
 
 
 def op5_fingerprint(spark, sf_dir: str) -> DataFrame:
