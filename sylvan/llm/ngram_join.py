@@ -43,7 +43,9 @@ from sylvan.llm.common import Staged, arrow_schema, documents, lookup, map_colum
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 U64 = np.uint64
-HEAVY_MAX, HEAVY_LOCAL, BLOCK, FLUSH_TOKENS, FLUSH_DOCS, LONG_RUN, MAP_LEAST, MAP_MOST, TOGETHER = 1_000_000, 4, 128, 1_500_000, 60_000, 512, 512, 1 << 18, 512
+HEAVY_MAX, HEAVY_LOCAL, BLOCK, FLUSH_TOKENS, FLUSH_DOCS, LONG_RUN, MAP_LEAST, MAP_MOST, TOGETHER = 1_000_000, 2, 128, 1_000_000, 60_000, 512, 512, 1 << 18, 512
+#: So many first shingles go along with each class, to tell the first one that two share.
+EARLY = 3
 PERCENT = 70
 
 
@@ -54,7 +56,7 @@ def need(n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray | int:
 
 class WordIds(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -123,7 +125,7 @@ def describe(docs: DataFrame) -> DataFrame:
                     held.append(s)
                     size += len(s)
             yield batch_of(0, ids, n, cid)
-            if size > 4 * FLUSH_TOKENS:
+            if size > 3 * FLUSH_TOKENS:
                 yield heavy()
                 held, size = [], 0
         if held:
@@ -163,7 +165,7 @@ def pack_prefixes(docs: DataFrame, order, buckets: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             cid = np.array([h[0] for h in held], np.int64)
             n = np.array([h[1] for h in held], np.uint32)
-            group = np.array([h[2][0] for h in held], U64)
+            early = np.array([[*h[2][:EARLY].tolist(), 0, 0, 0][:EARLY] for h in held], U64)  # the first is the group's key
             lengths = np.array([len(h[2]) for h in held])
             tokens = np.concatenate([h[2] for h in held])
             doc = np.repeat(np.arange(len(held)), lengths)
@@ -179,7 +181,7 @@ def pack_prefixes(docs: DataFrame, order, buckets: int) -> DataFrame:
                     homes = np.flatnonzero(pos[at] == 0)
                     head = np.array([len(own), len(at), len(homes)], np.uint32).tobytes()
                     out_b.append(b)
-                    out.append(head + cid[own].tobytes() + group[own].tobytes() + n[own].tobytes() + (tokens[at] & U64(0xFFFFFFFF)).astype(np.uint32).tobytes() + pos[at].tobytes() + local.astype(np.uint16).tobytes() + np.array([len(held[k][3]) for k in doc[at[homes]].tolist()], np.uint16).tobytes() + b"".join([held[k][3] for k in doc[at[homes]].tolist()]))
+                    out.append(head + cid[own].tobytes() + early[own].tobytes() + n[own].tobytes() + (tokens[at] & U64(0xFFFFFFFF)).astype(np.uint32).tobytes() + pos[at].tobytes() + local.astype(np.uint16).tobytes() + np.array([len(held[k][3]) for k in doc[at[homes]].tolist()], np.uint16).tobytes() + b"".join([held[k][3] for k in doc[at[homes]].tolist()]))
             return pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out, pa.binary())], schema=schema)
 
         for batch in batches:
@@ -218,45 +220,56 @@ def fold(maps: list[bytes]) -> np.ndarray:
 
 
 def unpack(blobs: list[bytes]) -> tuple:
-    """token, cid, group, n, position of every entry of the blobs; bitmaps of the entries at position 0, in their order."""
-    parts: list[list[np.ndarray]] = [[], [], [], [], []]
+    """token, document and position of every entry; cid, first shingles and n of every document; bitmaps of the entries at position 0, in their order."""
+    entries: list[list[np.ndarray]] = [[], [], []]
+    docs: list[list[np.ndarray]] = [[], [], []]
     maps: list[bytes] = []
+    before = 0
     for b in blobs:
         d, k, homes = np.frombuffer(b, np.uint32, 3).tolist()
         at = 12
-        cid = np.frombuffer(b, np.int64, d, at)
-        group = np.frombuffer(b, U64, d, at + 8 * d)
-        n = np.frombuffer(b, np.uint32, d, at + 16 * d)
-        at += 20 * d
-        local = np.frombuffer(b, np.uint16, k, at + 6 * k)
-        for p, x in zip(parts, (np.frombuffer(b, np.uint32, k, at), cid[local], group[local], n[local].astype(np.int64), np.frombuffer(b, np.uint16, k, at + 4 * k).astype(np.int64))):
+        for p, x in zip(docs, (np.frombuffer(b, np.int64, d, at), np.frombuffer(b, U64, EARLY * d, at + 8 * d).reshape(-1, EARLY), np.frombuffer(b, np.uint32, d, at + 8 * (EARLY + 1) * d).astype(np.int64))):
+            p.append(x)
+        at += (8 * (EARLY + 1) + 4) * d
+        for p, x in zip(entries, (np.frombuffer(b, np.uint32, k, at), np.frombuffer(b, np.uint16, k, at + 6 * k).astype(np.int32) + before, np.frombuffer(b, np.uint16, k, at + 4 * k))):
             p.append(x)
         at += 8 * k
+        before += d
         start = at + 2 * homes
         for size in np.frombuffer(b, np.uint16, homes, at).tolist():
             maps.append(b[start : start + size])
             start += size
-    return *(np.concatenate(p) for p in parts), maps
+    return *(np.concatenate(p) for p in entries), *(np.concatenate(p) for p in docs), maps
+
 
+def meetings(token: np.ndarray, doc: np.ndarray, pos: np.ndarray, cid: np.ndarray, early: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (class, group): the class may link with a member of the group, whose key is smaller than its own.
 
-def meetings(token: np.ndarray, cid: np.ndarray, group: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (class, group): the class may link with a member of the group, whose key is smaller than its own."""
+    Two classes that share one of their first shingles meet at the first shared one alone,
+    so what is sent doesn't grow with the number of shingles they share.
+    """
     by = np.argsort(token, kind="stable")
-    token, cid, group, n, pos = token[by], cid[by], group[by], n[by], pos[by]
+    token, doc, pos = token[by], doc[by], pos[by].astype(np.int64)
+    group = early[:, 0]
     starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     lengths = np.diff(np.append(starts, len(token)))
     out_c: list[np.ndarray] = []
     out_g: list[np.ndarray] = []
 
     def test(i: np.ndarray, j: np.ndarray) -> None:
-        """i visits the group of j."""
-        ok = group[i] > group[j]
-        i, j = i[ok], j[ok]
-        a, b = n[i], n[j]
-        least = need(a, b)
-        ok = (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)) & (np.minimum(a - pos[i], b - pos[j]) >= least)
+        """Entry i's class visits the group of entry j's."""
+        x, y = doc[i], doc[j]
+        a, b = n[x], n[y]
+        ok = (group[x] > group[y]) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)) & (np.minimum(a - pos[i], b - pos[j]) >= need(a, b))
+        i, x, y = i[ok], x[ok], y[ok]
+        if not len(i):
+            return
+        e, f = early[x], early[y]
+        shared = (e[:, :, None] == f[:, None, :]).any(2) & (e != 0)
+        first = e[np.arange(len(e)), shared.argmax(1)]
+        ok = ~shared.any(1) | ((first & U64(0xFFFFFFFF)).astype(np.uint32) == token[i])
         if ok.any():
-            pairs = np.unique(np.stack([cid[i[ok]].view(U64), group[j[ok]]]), axis=1)
+            pairs = np.unique(np.stack([cid[x[ok]].view(U64), group[y[ok]]]), axis=1)
             out_c.append(pairs[0])
             out_g.append(pairs[1])
 
@@ -264,25 +277,27 @@ def meetings(token: np.ndarray, cid: np.ndarray, group: np.ndarray, n: np.ndarra
         runs = starts[lengths == length]
         if length <= LONG_RUN:
             i, j = np.triu_indices(length, 1)
-            step = max(1, 2_000_000 // len(i))
+            step = max(1, 500_000 // len(i))
             for k in range(0, len(runs), step):
                 at = runs[k : k + step, None]
                 a, b = (at + i).ravel(), (at + j).ravel()
-                test(np.concatenate([a, b]), np.concatenate([b, a]))
+                test(a, b)
+                test(b, a)
             continue
-        for start in runs.tolist():  # by group: its sizes bound those of its members
-            own = slice(start, start + length)
-            keys, which = np.unique(group[own], return_inverse=True)
-            low, high = np.full(len(keys), 1 << 40), np.zeros(len(keys), np.int64)
-            np.minimum.at(low, which, n[own])
-            np.maximum.at(high, which, n[own])
-            for k in range(0, len(keys), 256):
-                g, lo, hi = keys[k : k + 256], low[k : k + 256], high[k : k + 256]
-                size = n[own][:, None]
-                ok = (group[own][:, None] > g) & (PERCENT * size <= 100 * hi) & (PERCENT * lo <= 100 * size)
-                x, y = np.nonzero(ok)
-                out_c.append(cid[own][x].view(U64))
-                out_g.append(g[y])
+        for start in runs.tolist():  # by size, each against those of up to 1 / 0.7 of its own
+            own = start + np.argsort(n[doc[start : start + length]], kind="stable")
+            size = n[doc[own]]
+            last = np.searchsorted(size, size * 100 // PERCENT, "right")
+            k = 0
+            while k < length:
+                rows = max(1, 500_000 // max(1, int(last[k]) - k))
+                i = np.arange(k, min(length, k + rows))
+                count = last[i] - i - 1
+                x = np.repeat(i, count)
+                y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count)
+                test(own[x], own[y])
+                test(own[y], own[x])
+                k += rows
     if not out_c:
         return np.empty(0, U64), np.empty(0, U64)
     pairs = np.unique(np.stack([np.concatenate(out_c), np.concatenate(out_g)]), axis=1)
@@ -312,18 +327,18 @@ def groups_and_visits(packed: DataFrame, buckets: int) -> DataFrame:
         blobs = [b for batch in batches for b in batch.column(0).to_pylist()]
         if not blobs:
             return
-        token, cid, group, n, pos, maps = unpack(blobs)
+        token, doc, pos, cid, early, n, maps = unpack(blobs)
         blobs.clear()
-        first = np.flatnonzero(pos == 0)
+        first = doc[np.flatnonzero(pos == 0)]
         # a class that several tasks met is one row
         _, once = np.unique(cid[first], return_index=True)
-        c, g, size, maps = cid[first][once].view(U64), group[first][once], n[first][once], [maps[k] for k in once.tolist()]
+        c, g, size, maps = cid[first][once].view(U64), early[first][once, 0], n[first][once], [maps[k] for k in once.tolist()]
         yield from rows(0, c, g, size, None, maps)
         by = np.argsort(g, kind="stable")
         starts = np.flatnonzero(np.concatenate([[True], g[by][1:] != g[by][:-1]])) if len(g) else np.empty(0, np.int64)
         if len(starts):
             yield from rows(2, np.diff(np.append(starts, len(g))).astype(U64), g[by][starts], np.minimum.reduceat(size[by], starts), np.maximum.reduceat(size[by], starts), [maps[by[a]] if b - a == 1 else np.bitwise_or.reduce(fold([maps[k] for k in by[a:b].tolist()]), axis=0).tobytes() for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(by)])])
-        yield from rows(1, *meetings(token, cid, group, n, pos))
+        yield from rows(1, *meetings(token, doc, pos, cid, early, n))
 
     return packed.repartitionById(buckets, "bucket").select("blob").mapInArrow(run, MET)
 
