@@ -14,6 +14,9 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sylvan.functions.shipping import ship
 
 ROOT, META, FRAME = "/", "/.vfs", "__meta__"
 KINDS = ("file", "directory", "chunk", "version", "edge", "api")
@@ -159,13 +162,14 @@ def unscoped(path: str, user: str) -> str:
 # Column forms
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _normalize_udf(paths: pd.Series) -> pd.Series:
     return paths.map(normalize, na_action="ignore")
 
 
 def normalize_col(col: Column) -> Column:
     """Clean ASCII paths pass in the JVM; only others go to Python, in Arrow batches."""
+    ship()
     clean = col.rlike(r"^(/[!-.0-~]+)+$") & ~col.rlike(r"/\.\.?(/|$)")
     return F.when(clean, col).otherwise(_normalize_udf(F.when(~clean, col)))
 

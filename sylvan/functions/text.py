@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sylvan.functions.shipping import ship
+
 QUERY_TERMS, SNAPSHOT_EVERY = 50, 10
 
 
@@ -107,7 +109,8 @@ def edit(content: str, old: str, new: str, every: bool = False) -> Edited:
 
 
 def edit_col(col: Column, old: str, new: str, every: bool = False) -> Column:
-    """struct(success, content, error, method); exact replacement of all stays in the JVM."""
+    """struct(success, content, error, method), in Arrow batches."""
+    ship()
 
     @F.pandas_udf("success boolean, content string, error string, method string")
     def run(texts: pd.Series) -> pd.DataFrame:

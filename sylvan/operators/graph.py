@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.functions import paths as P
+from sylvan.functions.shipping import ship
 from sylvan.operators.relation import Relation
 from sylvan.operators.scan import seeds
 from sylvan.sources.staging import cut
@@ -240,6 +241,7 @@ def hits_joins(edges: DataFrame, which: str, rounds: int, tolerance: float | Non
 def _per_source(edges: DataFrame, g: Adjacency, work) -> DataFrame:
     """(path, score): ``work(sources)`` gives (node, value) arrays; sources are spread over tasks."""
     spark = edges.sparkSession
+    ship(spark)
     ids = spark.range(g.n).repartition(max(1, min(g.n, spark.sparkContext.defaultParallelism * 2)))
 
     def run(batches):

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.functions import paths as P
+from sylvan.functions.shipping import ship
 from sylvan.schema import CANDIDATE, DEFAULTS, FIELDS, missing
 
 HIDDEN = ("_side", "_rank")
@@ -110,6 +111,8 @@ class Relation:
         if isinstance(test, Column):
             return self._with(self.df.where(test))
 
+        ship()
+
         def run(batches):
             for pdf in batches:
                 yield pdf[[bool(test(r)) for r in pdf.to_dict("records")]] if len(pdf) else pdf

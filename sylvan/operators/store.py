@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sylvan.functions import paths as P
 from sylvan.functions import text as X
+from sylvan.functions.shipping import ship
 from sylvan.operators.relation import Relation
 from sylvan.operators.scan import live, seeds
 from sylvan.schema import ENTRY
@@ -86,6 +87,7 @@ def write(entries: DataFrame, rows: DataFrame, overwrite: bool = True, now: Colu
 
 def version_rows(files: DataFrame, now: Column) -> DataFrame:
     """Version entries of (path, content, _prev, n): a snapshot for the first, every tenth, and without a predecessor; else a diff."""
+    ship()
     whole = X.is_snapshot_col(F.col("n")) | F.col("_prev").isNull()
 
     @F.pandas_udf("string")
@@ -106,6 +108,7 @@ def reconstruct(entries: DataFrame) -> DataFrame:
     Chains are cut at snapshots, so a group has at most ten rows however long the history.
     """
     own = entries.where("kind = 'version'").select(F.regexp_extract("path", r"^/\.vfs(/.+)/__meta__/versions/", 1).alias("path"), "version_number", "is_snapshot", F.coalesce("content", "version_diff").alias("stored"))
+    ship()
     w = Window.partitionBy("path").orderBy("version_number")
     chains = own.withColumn("base", F.max(F.when(F.col("is_snapshot"), F.col("version_number"))).over(w))
 
@@ -205,6 +208,7 @@ def edit(entries: DataFrame, wanted: Iterable[str] | DataFrame | Relation, edits
     """Edits in turn on every file; a file that one of them doesn't fit stays as it was and is reported."""
     rows = live(entries).where("kind = 'file'").join(seeds(entries, wanted), "path", "left_semi").select("path", "content")
     edits = list(edits)
+    ship()
 
     @F.pandas_udf("content string, error string")
     def run(texts: pd.Series) -> pd.DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sylvan.functions.shipping import ship
 from sylvan.operators.relation import Relation
 
 
@@ -42,6 +43,7 @@ def vector_search(items: DataFrame, query: Sequence[float], k: int = 15, metric:
 
 def embed_column(col: Column, embed_batch: Callable[[list[str]], list[Sequence[float]]]) -> Column:
     """Vectors of a text column, in Arrow batches."""
+    ship()
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
