@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 from sylvan.llm.common import arrow_schema, doc_text, documents, prepare
 
 CELLS, HASHES, LONG_PARAGRAPH, CUT_BITS = 24, 3, 160, 3
+CHECK, ROUNDS = 0x5BD1E995, 400
 FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_paragraphs long, cells_edited long"
 
 
@@ -79,81 +80,104 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class Iblt:
-    """Cells of (count, exclusive-or of digests, exclusive-or of check sums), in three parts with one cell of each digest."""
+class Tables:
+    """The tables of many digest sets, one behind another, so that numpy builds, subtracts and peels them together.
 
-    def __init__(self, keys: np.ndarray, cells: int):
-        self.part = max(1, -(-cells // HASHES))
-        self.count = np.zeros(self.part * HASHES, np.int32)
-        self.keys = np.zeros(self.part * HASHES, np.uint64)
-        self.checks = np.zeros(self.part * HASHES, np.uint64)
-        check = mix(keys, 0x5BD1E995)
+    Each cell has a count, the exclusive-or of its digests, and that of their check sums;
+    a table has three parts, and each digest one cell in each.
+    """
+
+    def __init__(self, sets: list[np.ndarray], parts: np.ndarray):
+        self.parts = parts
+        self.base = np.concatenate([[0], np.cumsum(parts * HASHES)]).astype(np.int64)
+        self.count = np.zeros(self.base[-1], np.int32)
+        self.keys = np.zeros(self.base[-1], np.uint64)
+        self.checks = np.zeros(self.base[-1], np.uint64)
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        if len(owner):
+            self._add(np.concatenate(sets), owner, np.ones(len(owner), np.int32))
+
+    def _add(self, keys: np.ndarray, owner: np.ndarray, signs: np.ndarray) -> None:
+        check, part, base = mix(keys, CHECK), self.parts[owner], self.base[owner]
         for k in range(HASHES):
-            at = (mix(keys, k + 1) % np.uint64(self.part)).astype(np.int64) + k * self.part
-            self.count += np.bincount(at, minlength=len(self.count)).astype(np.int32)
+            at = base + k * part + (mix(keys, k + 1) % part.astype(np.uint64)).astype(np.int64)
+            np.add.at(self.count, at, signs)
             np.bitwise_xor.at(self.keys, at, keys)
             np.bitwise_xor.at(self.checks, at, check)
 
-    def minus(self, other: Iblt) -> Iblt:
-        out = object.__new__(Iblt)
-        out.part = self.part
+    def minus(self, other: Tables) -> Tables:
+        out = object.__new__(Tables)
+        out.parts, out.base = self.parts, self.base
         out.count, out.keys, out.checks = self.count - other.count, self.keys ^ other.keys, self.checks ^ other.checks
         return out
 
-    def peel(self) -> tuple[set[int], set[int]] | None:
-        """Digests that only the left and only the right table has; None where peeling gets stuck."""
-        count, keys, checks = self.count.copy(), self.keys.copy(), self.checks.copy()
-        left: set[int] = set()
-        right: set[int] = set()
-        while True:
-            pure = np.flatnonzero((np.abs(count) == 1))
-            pure = pure[mix(keys[pure], 0x5BD1E995) == checks[pure]]
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Owner, digest and sign of all that peels, and which tables came out empty. Uses the tables up."""
+        cell_owner = np.repeat(np.arange(len(self.parts)), self.parts * HASHES)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for _ in range(ROUNDS):
+            pure = np.flatnonzero(np.abs(self.count) == 1)
+            pure = pure[mix(self.keys[pure], CHECK) == self.checks[pure]]
             if not len(pure):
                 break
-            found, first = np.unique(keys[pure], return_index=True)
-            signs = count[pure][first]
-            known = left | right
-            if known and any(int(x) in known for x in found):
-                return None
-            left.update(int(x) for x in found[signs > 0])
-            right.update(int(x) for x in found[signs < 0])
-            check = mix(found, 0x5BD1E995)
-            for k in range(HASHES):
-                at = (mix(found, k + 1) % np.uint64(self.part)).astype(np.int64) + k * self.part
-                np.subtract.at(count, at, signs)
-                np.bitwise_xor.at(keys, at, found)
-                np.bitwise_xor.at(checks, at, check)
-        return None if count.any() or keys.any() or checks.any() else (left, right)
-
-    def hex(self, n: int) -> str:
-        return f"{n:x}." + self.count.astype(">i2").tobytes().hex() + "." + self.keys.astype(">u8").tobytes().hex() + "." + (self.checks.astype(np.uint32)).astype(">u4").tobytes().hex()
-
-
-def difference(a: np.ndarray, b: np.ndarray, first: tuple[Iblt, Iblt] | None = None, cells: int = CELLS) -> tuple[set[int], set[int], int]:
-    """Digests only in a and only in b, and the cells that it took.
-
-    ``first`` has the fingerprints' own tables. A table that fails is followed by one with
-    room for every digest to differ, and that by tables of twice the size.
-    """
-    if abs(len(a) - len(b)) > cells:  # more digests differ than cells can tell
-        first, cells = None, room(a, b)
-    while cells <= 16 * (len(a) + len(b) + CELLS):
-        x, y = first or (Iblt(a, cells), Iblt(b, cells))
-        if (out := x.minus(y).peel()) is not None:
-            return *out, cells
-        first, cells = None, max(2 * cells, room(a, b))
-    return set(np.setdiff1d(a, b).tolist()), set(np.setdiff1d(b, a).tolist()), cells
+            owner, keys, signs = cell_owner[pure], self.keys[pure], self.count[pure]
+            by = np.lexsort((keys, owner))
+            owner, keys, signs = owner[by], keys[by], signs[by]
+            once = np.concatenate([[True], (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])])
+            owner, keys, signs = owner[once], keys[once], signs[once]
+            found.append((owner, keys, signs))
+            self._add(keys, owner, -signs)
+        left = np.bincount(cell_owner[(self.count != 0) | (self.keys != 0) | (self.checks != 0)], minlength=len(self.parts))
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int32), left == 0
+        return *(np.concatenate(x) for x in zip(*found)), left == 0
+
+    def hex(self, sizes: list[int]) -> list[str]:
+        out = []
+        for k, n in enumerate(sizes):
+            at = slice(self.base[k], self.base[k + 1])
+            out.append(f"{n:x}." + self.count[at].astype(">i2").tobytes().hex() + "." + self.keys[at].astype(">u8").tobytes().hex() + "." + self.checks[at].astype(np.uint32).astype(">u4").tobytes().hex())
+        return out
+
 
+def small(sets: list[np.ndarray]) -> Tables:
+    return Tables(sets, np.full(len(sets), CELLS // HASHES, np.int64))
 
-def room(a: np.ndarray, b: np.ndarray) -> int:
-    return CELLS + int(1.5 * (len(a) + len(b)))
+
+def differences(a: list[np.ndarray], b: list[np.ndarray], first: Tables | None = None) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Digests only in a[k], only in b[k], and the cells that it took, for every k.
+
+    ``first`` has the differences of the fingerprints' own tables. Sets whose table fails
+    are tried with room for every digest to differ, then with twice the cells, and so on;
+    at many more cells than digests they are compared outright.
+    """
+    out: list = [None] * len(a)
+    todo = np.arange(len(a))
+    total = np.array([len(x) + len(y) for x, y in zip(a, b)])
+    parts = np.full(len(a), CELLS // HASHES, np.int64)
+    table = first
+    while len(todo):
+        if table is None:
+            x, y = Tables([a[k] for k in todo], parts[todo]), Tables([b[k] for k in todo], parts[todo])
+            table = x.minus(y)
+        owner, keys, signs, empty = table.peel()
+        bounds = np.searchsorted(owner[by := np.argsort(owner, kind="stable")], np.arange(len(todo) + 1))
+        keys, signs = keys[by], signs[by]
+        for j in np.flatnonzero(empty).tolist():
+            own = slice(bounds[j], bounds[j + 1])
+            out[todo[j]] = (keys[own][signs[own] > 0], keys[own][signs[own] < 0], int(parts[todo[j]]) * HASHES)
+        todo, table = todo[~empty], None
+        parts[todo] = np.maximum(2 * parts[todo], -(-(CELLS + total[todo] * 3 // 2) // HASHES))
+        for k in todo[parts[todo] * HASHES > 16 * (total[todo] + CELLS)].tolist():
+            out[k] = (np.setdiff1d(a[k], b[k]), np.setdiff1d(b[k], a[k]), int(parts[k]) * HASHES)
+        todo = np.array([k for k in todo.tolist() if out[k] is None], np.int64)
+    return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray, first: tuple[Iblt, Iblt] | None = None) -> tuple[float, int]:
-    left, right, cells = difference(a, b, first)
-    both = len(a) - len(left)
-    every = 2 * both + len(left) + len(right)
-    return (2 * both / every if every else 1.0), cells
+def likeness(a: np.ndarray, b: np.ndarray, only_a: int, only_b: int) -> float:
+    both = len(a) - only_a
+    every = 2 * both + only_a + only_b
+    return 2 * both / every if every else 1.0
 
 
 def edit(text: str, following: str) -> str:
@@ -198,28 +222,31 @@ def fingerprint_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     break
                 if waiting is None and halo:
                     break  # a range without rows of its own
-                own = digests(text)
-                here = (doc_id, text, own, Iblt(own, CELLS))
+                here = (doc_id, text, digests(text))
                 if waiting is not None:
-                    rows.append(row(waiting, here))
+                    rows.append((waiting, here))
                 first = first or here
                 waiting, over = here, bool(halo)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows_of(rows), schema)], schema=schema)
         if waiting is not None and not over:  # no bound at all: the first row follows the last
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(row(waiting, first)), schema)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows_of([(waiting, first)]), schema)], schema=schema)
 
     return ordered.mapInArrow(run, FIELDS)
 
 
-def row(here: tuple, following: tuple) -> tuple:
-    doc_id, text, own, table = here
-    edited = edit(text, following[1])
-    other = digests(edited)
-    other_table = Iblt(other, CELLS)
-    near_edited, cells = likeness(own, other, (table, other_table))
-    near_next, _ = likeness(own, following[2], (table, following[3]))
-    return (doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), table.hex(len(own)), other_table.hex(len(other)), near_edited, near_next, len(own), cells)
+def rows_of(pairs: list[tuple[tuple, tuple]]) -> list[list]:
+    """Columns of the result for (document, next document) pairs; a document is (id, text, digests)."""
+    own, after = [h[2] for h, _ in pairs], [f[2] for _, f in pairs]
+    edited = [edit(h[1], f[1]) for h, f in pairs]
+    other = [digests(t) for t in edited]
+    own_tables, other_tables, after_tables = small(own), small(other), small(after)
+    to_edited = differences(own, other, own_tables.minus(other_tables))
+    to_next = differences(own, after, own_tables.minus(after_tables))
+    return [
+        [h[0] for h, _ in pairs], [len(h[1]) for h, _ in pairs], [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited], own_tables.hex([len(x) for x in own]), other_tables.hex([len(x) for x in other]),
+        [likeness(x, y, len(d[0]), len(d[1])) for x, y, d in zip(own, other, to_edited)], [likeness(x, y, len(d[0]), len(d[1])) for x, y, d in zip(own, after, to_next)], [len(x) for x in own], [d[2] for d in to_edited],
+    ]
 
 
 def op5_fingerprint(spark, sf_dir: str) -> DataFrame:
