@@ -386,7 +386,7 @@ def hits_authority(spark, d):
     return Gr.hits(T.ring(spark, d), rounds=20, tolerance=None).df.select("path", F.round("score", 7).alias("score"))
 
 
-_DIST = "WITH RECURSIVE " + T.RING_SQL + ", nd AS (SELECT src AS path FROM ring UNION SELECT dst FROM ring), x(root, path, k) AS (SELECT path, path, 0 FROM nd UNION SELECT root, dst, k + 1 FROM x JOIN ring ON src = path WHERE k < 9), ds AS (SELECT root, path, min(k) AS k FROM x GROUP BY root, path)\n"
+_DIST = "WITH RECURSIVE " + T.RING_SQL + ", nd AS (SELECT src AS path FROM ring UNION SELECT dst FROM ring), x(root, path, k) AS (SELECT path, path, 0 FROM nd UNION SELECT root, dst, k + 1 FROM x JOIN ring ON src = path WHERE k < 12), ds AS (SELECT root, path, min(k) AS k FROM x GROUP BY root, path)\n"
 
 
 @query(_DIST + ", c AS (SELECT path, count(*) AS m, sum(k) AS far FROM ds GROUP BY path) SELECT path, round(CASE WHEN far > 0 THEN (m - 1) / far * (m - 1) / ((SELECT count(*) FROM nd) - 1) ELSE 0 END, 9)::DOUBLE AS score FROM c")
@@ -407,7 +407,7 @@ def _between_sql(depth: int) -> str:
     return _DIST + ", " + ",\n".join(parts) + f" SELECT nd.path, round(coalesce((SELECT sum(b) FROM ({total}) t WHERE t.path = nd.path AND t.root <> t.path), 0) / ((SELECT count(*) - 1 FROM nd) * (SELECT count(*) - 2 FROM nd)), 9)::DOUBLE AS score FROM nd"
 
 
-@query(_between_sql(7))
+@query(_between_sql(10))
 def betweenness(spark, d):
     return Gr.betweenness_centrality(T.ring(spark, d)).df.select("path", F.round("score", 9).alias("score"))
 
