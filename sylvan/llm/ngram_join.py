@@ -43,7 +43,7 @@ from sylvan.llm.common import Staged, arrow_schema, documents, lookup, map_colum
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 U64 = np.uint64
-HEAVY_MAX, HEAVY_LOCAL, BLOCK, FLUSH_TOKENS, FLUSH_DOCS, LONG_RUN, MAP_LEAST, MAP_MOST, TOGETHER = 1_000_000, 2, 128, 1_000_000, 60_000, 512, 512, 1 << 18, 512
+HEAVY_MAX, HEAVY_LOCAL, BLOCK, FLUSH_TOKENS, FLUSH_DOCS, LONG_RUN, MAP_LEAST, MAP_MOST, TOGETHER = 500_000, 2, 128, 1_000_000, 60_000, 512, 512, 1 << 18, 512
 #: So many first shingles go along with each class, to tell the first one that two share.
 EARLY = 3
 PERCENT = 70
@@ -152,6 +152,22 @@ class Order:
         return s[:p]
 
 
+def frequent(counted: DataFrame) -> Order:
+    """The most frequent shingles with their counts: all those above the least count that leaves HEAVY_MAX at most.
+
+    Shingles that are left out merely stand by hash; no result depends on it.
+    """
+    total = Staged(counted.groupBy("cid").agg(F.sum("n").alias("n")), "shingles").df
+    levels = sorted(((r["n"], r["k"]) for r in total.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    least, kept = 1 << 62, 0
+    for n, k in levels:
+        if kept + k > HEAVY_MAX:
+            break
+        least, kept = n, kept + k
+    found = total.where(F.col("n") >= least).toArrow()
+    return Order(found["cid"].to_numpy().astype(np.int64).view(U64), found["n"].to_numpy().astype(np.int64))
+
+
 def pack_prefixes(docs: DataFrame, order, buckets: int) -> DataFrame:
     """(bucket, blob): the first shingles of each class that a task meets, by hash of the shingle."""
     schema = arrow_schema(T.StructType.fromDDL("bucket int, blob binary"))
@@ -592,8 +608,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
 
     told = Staged(describe(docs), "sets").df
-    heavy = told.where("kind = 1").groupBy("cid").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cid").limit(HEAVY_MAX).toPandas()
-    order = spark.sparkContext.broadcast(Order(heavy["cid"].to_numpy(np.int64).view(U64), heavy["n"].to_numpy(np.int64)))  # at most 16 bytes * HEAVY_MAX
+    order = spark.sparkContext.broadcast(frequent(told.where("kind = 1")))  # at most 16 bytes * HEAVY_MAX
     meta = told.where("kind = 0").drop("kind")
     classes = meta.where("n > 0").groupBy("cid").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least"))
 
