@@ -204,7 +204,8 @@ def kind_col(col: Column) -> Column:
 def ancestors_col(col: Column) -> Column:
     """Array of the proper ancestors below the root."""
     parts = F.split(F.substring(col, 2, 1 << 20), "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")))
+    ups = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), lambda k: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")))
+    return F.when(F.size(parts) > 1, ups).otherwise(F.array().cast("array<string>"))
 
 
 def edge_out_col(source: Column, target: Column, type: Column) -> Column:

@@ -141,7 +141,7 @@ class Adjacency:
 def local(edges: DataFrame) -> Adjacency | None:
     """The graph on the driver, where its edges are few enough; None otherwise."""
     one = pairs(edges)
-    found = one.limit(LOCAL_EDGES + 1).toPandas()
+    found = one.limit(LOCAL_EDGES + 1).toArrow().to_pandas()
     return Adjacency(found) if len(found) <= LOCAL_EDGES else None
 
 
