@@ -41,7 +41,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("toxicity", toxicity_filter), ("near duplicates", near_duplicate_removal), ("secrets", secret_redaction), ("packing", pack_sequences)]
 
-#: The learned stages have no SQL; the pipeline is tested against a brute-force version.
+#: The learned stages have no SQL.
 ORACLE_SQL = None
 
 
