@@ -84,11 +84,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst) of a small graph with cycles: the first 200 parts, suppliers, nations, regions and back."""
+    """(src, dst) of a graph with cycles: parts, suppliers, nations, regions and back."""
     c, t = F.col, lambda n: table(spark, sf_dir, n)
     at = lambda a, x: F.concat(F.lit(a), c(x))
-    back = t("part").where("p_partkey <= 200").join(F.broadcast(t("region")), c("p_size") % 5 == c("r_regionkey")).select(at("/regions/", "r_regionkey").alias("src"), at("/parts/", "p_partkey").alias("dst"))  # region has five rows
-    out = t("lineitem").where("l_partkey <= 200").select(at("/parts/", "l_partkey").alias("src"), at("/suppliers/", "l_suppkey").alias("dst"))
+    back = t("part").join(F.broadcast(t("region")), c("p_size") % 5 == c("r_regionkey")).select(at("/regions/", "r_regionkey").alias("src"), at("/parts/", "p_partkey").alias("dst"))  # region has five rows
+    out = t("lineitem").select(at("/parts/", "l_partkey").alias("src"), at("/suppliers/", "l_suppkey").alias("dst"))
     out = out.unionByName(t("supplier").select(at("/suppliers/", "s_suppkey").alias("src"), at("/nations/", "s_nationkey").alias("dst")))
     return out.unionByName(t("nation").select(at("/nations/", "n_nationkey").alias("src"), at("/regions/", "n_regionkey").alias("dst"))).unionByName(back).distinct()
 
