@@ -1,9 +1,10 @@
 """Licence scan by a positional index of rare tokens.
 
 Words of licence templates are weighed by their inverse document frequency over all
-documents. In each file the licence words of high weight are looked up in the
-positional index of the templates; postings that agree on the relative position
-(file position less template position, with a little slack for edits) align a template,
+documents. Each template is looked up by its own rarest words, however frequent they
+are: as many as weigh more than an alignment may lack, so that every alignment has one.
+Postings that agree on the relative position (file position less template position,
+with a little slack for edits) align a template,
 and an alignment counts when it covers enough of the template's weight and every
 mandatory key phrase of the template stands inside the aligned stretch.
 
@@ -56,7 +57,7 @@ TEMPLATES: dict[str, list[tuple[str, list[str]]]] = {
     "isc": [("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify and or distribute"])],
     "unlicense": [("this is free and unencumbered software released into the public domain", ["unencumbered software"])],
 }
-SLACK, COVER, RARE = 2, 0.6, 3.0
+SLACK, COVER = 2, 0.6
 
 
 def words_of(text: str) -> list[bytes]:
@@ -70,38 +71,47 @@ class Index:
         self.templates = [(label, t.encode().split(), [p.encode().split() for p in keys]) for label, own in templates.items() for t, keys in own]
         self.vocab = {w for _, t, _ in self.templates for w in t}
         self.idf = {w: math.log((n_docs + 1) / (df.get(w.decode(), 0) + 1)) + 1 for w in self.vocab}
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, t, _) in enumerate(self.templates):
-            for p, w in enumerate(t):
-                self.postings[w].append((k, p))
         self.weight = [sum(self.idf[w] for w in t) for _, t, _ in self.templates]
-        self.rare_weight = [sum(self.idf[w] for w in t if self.idf[w] >= RARE) for _, t, _ in self.templates]
-
-    def rare(self, present: set[bytes]) -> list[bytes]:
-        """The licence words of high weight; where none reaches the bound, the highest one."""
-        high = [w for w in present if self.idf[w] >= RARE]
-        return high or [max(present, key=lambda w: (self.idf[w], w))]
+        self.needed = [{w for p in keys for w in p} for _, _, keys in self.templates]
+        self.rare = [self._rarest(t, (1 - COVER) * total) for (_, t, _), total in zip(self.templates, self.weight)]
+        #: What an alignment that covers enough has of its rare words at least.
+        self.least = [sum(self.idf[w] * len(at) for w, at in own.items()) - (1 - COVER) * total - 1e-9 for own, total in zip(self.rare, self.weight)]
+
+    def _rarest(self, t: list[bytes], lack: float) -> dict[bytes, list[int]]:
+        """The template's rarest words and their places, until they weigh more than ``lack``."""
+        out: dict[bytes, list[int]] = {}
+        for w in sorted(set(t), key=lambda w: (-self.idf[w], w)):
+            out[w] = [q for q, x in enumerate(t) if x == w]
+            lack -= self.idf[w] * len(out[w])
+            if lack < -1e-6:
+                break
+        return out
 
     def scan(self, words: list[bytes]) -> list[tuple[str, float, int, int]]:
         """Verified alignments: label, share of the template's weight, first and last word."""
         present = self.vocab.intersection(words)
-        if not present:
+        live = [k for k, own in enumerate(self.needed) if own <= present]
+        if not live:
             return []
+        looked = present.intersection(set().union(*(self.rare[k] for k in live)))
         where: dict[bytes, list[int]] = defaultdict(list)
         for p, w in enumerate(words):
-            if w in present:
+            if w in looked:
                 where[w].append(p)
         votes: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for w in self.rare(present):
-            for p in where[w]:
-                for k, q in self.postings[w]:
-                    votes[k, p - q].add(q)
+        for k in live:
+            for w, at in self.rare[k].items():
+                for p in where.get(w, ()):
+                    for q in at:
+                        votes[k, p - q].add(q)
         out = []
-        for (k, offset), _ in sorted(votes.items()):
+        for k, offset in sorted({(k, o + d) for k, o in votes for d in range(-SLACK, SLACK + 1)}):
             label, t, keys = self.templates[k]
-            if sum(self.idf[t[q]] for d in range(-SLACK, SLACK + 1) for q in votes.get((k, offset + d), ())) < COVER * self.rare_weight[k]:
-                continue
             near = {q for d in range(-SLACK, SLACK + 1) for q in votes.get((k, offset + d), ())}
+            if sum(self.idf[t[q]] for q in near) < self.least[k]:
+                continue
+            if (k, offset) not in votes and not any(0 <= offset + q < len(words) and words[offset + q] == w for q, w in enumerate(t)):
+                continue  # no word at its very place
             # the template's other words count where they stand at their place, within the slack
             got = near | {q for q, w in enumerate(t) if q not in near and any(0 <= offset + q + d < len(words) and words[offset + q + d] == w for d in range(-SLACK, SLACK + 1))}
             cover = sum(self.idf[t[q]] for q in got) / self.weight[k]
