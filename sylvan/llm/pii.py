@@ -1,7 +1,8 @@
 """Personal data: stated patterns, and terms that give protected entities away.
 
 Protected entities are the values that the stated patterns match. Over the whole corpus
-their co-occurrence with terms is counted, a context once however often it is copied.
+their co-occurrence with terms is counted, a context once however often it is copied:
+a context is the set of a text's terms, and all counts are of different contexts.
 Of an entity e with information content IC(e) = -log2 p(e), a term t reveals
 PMI(e, t) / IC(e) = 1 + log2 p(e | t) / IC(e): 1 where the term never occurs without
 the entity, 0 where it tells nothing. In documents that hold the entity, terms from
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import xxhash
@@ -94,7 +95,7 @@ def joined(spans: list[tuple]) -> str:
 
 
 def scan(df: DataFrame) -> DataFrame:
-    """Stated spans and entity values of every text; ``text_hash`` with doc_id names a text."""
+    """Stated spans, entity values and context of every text; ``text_hash`` with doc_id names a text."""
 
     def run(_: object, ids: list, texts: list) -> dict:
         rows = []
@@ -102,17 +103,21 @@ def scan(df: DataFrame) -> DataFrame:
             base = base_spans(text)
             kinds = [k for _, _, k in base]
             values = sorted({value_of(text, *s) for s in base})
-            rows.append((i, hash_of(text), *(kinds.count(k) for k in KINDS[:4]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base), values))
-        names = ("doc_id", "text_hash", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "entities")
+            rows.append((i, hash_of(text), *(kinds.count(k) for k in KINDS[:4]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base), values, context_of(terms_of(text))))
+        names = ("doc_id", "text_hash", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "entities", "context")
         return {k: [r[j] for r in rows] for j, k in enumerate(names)}
 
-    return map_columns(df, run, "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, entities array<string>")
+    return map_columns(df, run, "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, entities array<string>, context long")
 
 
 def terms_of(text: str) -> set[str]:
     return {w.lower() for w in TERM.findall(text)}
 
 
+def context_of(terms: Iterable[str]) -> int:
+    return hash_of(" ".join(sorted(terms)))
+
+
 def contexts(df: DataFrame, wanted: DataFrame) -> DataFrame:
     """(entity, term) with the number of different contexts, for entities that ``wanted`` has.
 
@@ -126,7 +131,7 @@ def contexts(df: DataFrame, wanted: DataFrame) -> DataFrame:
             values = {value_of(text, *s) for s in base_spans(text)}
             if values:
                 own = sorted(terms_of(text))
-                key = xxhash.xxh64_intdigest(" ".join(own)) - (1 << 63)
+                key = context_of(own)
                 for v in sorted(values):
                     entity.append(v)
                     terms.append(own)
@@ -176,34 +181,39 @@ def held(bits: bytes, value: str) -> bool:
 
 
 def term_counts(df: DataFrame, terms: DataFrame) -> DataFrame:
-    """In how many different texts each of these terms occurs, over all texts; equal texts count once in a batch."""
+    """In how many different contexts each of these terms occurs, over all texts."""
     bits = bloom(terms, "term")
 
-    def run(_: object, ids: list, texts: list) -> dict:
-        counts: Counter = Counter()
+    def run(done: set, ids: list, texts: list) -> dict:
+        rows: list[tuple[int, list]] = []
         known: dict[str, bool] = {}
         for text in set(texts):
-            for w in terms_of(text):
-                ok = known.get(w)
-                if ok is None:
-                    ok = known[w] = held(bits, w)
-                if ok:
-                    counts[w] += 1
-        return {"term": list(counts), "n": list(counts.values())}
-
-    return map_columns(df, run, "term string, n long").groupBy("term").agg(F.sum("n").alias("alone")).join(terms, "term", "left_semi")
+            own = terms_of(text)
+            key = context_of(own)
+            if key in done:
+                continue
+            done.add(key)
+            for w in own:
+                if w not in known:
+                    known[w] = held(bits, w)
+            if kept := [w for w in own if known[w]]:
+                rows.append((key, kept))
+        return {"context": [k for k, _ in rows], "terms": [x for _, x in rows]}
+
+    once = map_columns(df, run, "context long, terms array<string>", set).dropDuplicates(["context"])
+    return once.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("alone")).join(terms, "term", "left_semi")
 
 
 def disclosures(df: DataFrame, scanned: DataFrame, support: int = SUPPORT, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame | None:
     """(entity, terms array<struct<term, action>>) of revealing terms; None where no entity has the support."""
-    counts = scanned.select(F.explode("entities").alias("entity"), "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    counts = scanned.select(F.explode("entities").alias("entity"), "context").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     wanted = Staged(counts.where(F.col("n_entity") >= support), "pii-entities").df
     if wanted.isEmpty():
         return None
     pairs = Staged(contexts(df, wanted.select("entity")).where(F.col("both") >= support), "pii-pairs").df
     if pairs.isEmpty():
         return None
-    total = scanned.count()
+    total = scanned.select("context").distinct().count()
     alone = term_counts(df, pairs.select("term").distinct())
     content = -F.log2(F.col("n_entity") / F.lit(float(total)))
     given = F.least(F.lit(1.0), F.col("both") / F.col("alone"))
