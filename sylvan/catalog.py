@@ -489,13 +489,13 @@ def version_reconstruct(spark, d):
 
 @query(files() + "SELECT path, replace(content, 'License', 'Licence') AS content FROM entries WHERE contains(content, 'License') AND path LIKE '/docs/%'")
 def edit_exact_replace_all(spark, d):
-    e = T.entries(spark, d).where("path like '/docs/%' and contains(content, 'License')")
+    e = T.entries(spark, d).where("contains(content, 'License')")
     return e.select("path", X.edit_col(F.col("content"), "License", "Licence", True)["content"].alias("content"))
 
 
 @query()
 def edit_fuzzy(spark, d):
-    e = T.entries(spark, d).where("path like '/docs/%' and contains(content, 'License')")
+    e = T.entries(spark, d).where("contains(content, 'License')")
     return e.select("path", X.edit_col(F.col("content"), "   Released under the MIT License.  ", "(removed)").alias("x")).select("path", "x.success", "x.method", "x.error")
 
 
@@ -535,7 +535,7 @@ def user_scope(spark, d):
 
 @query(files() + "SELECT gram, count(*) AS n, count(DISTINCT path) AS files FROM (SELECT path, unnest(list_transform(range(1, length(content) - 1), lambda i: substring(lower(content), i, 3))) AS gram FROM files WHERE path LIKE '/docs/%' AND length(content) >= 3) GROUP BY gram")
 def trigram_postings(spark, d):
-    rows = T.text_files(spark, d).where("path like '/docs/%' and length(content) >= 3").select("path", F.lower("content").alias("t"))
+    rows = T.text_files(spark, d).where("length(content) >= 3").select("path", F.lower("content").alias("t"))
     grams = rows.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda k: F.substring(F.col("t"), k, F.lit(3)))).alias("gram"))
     return grams.groupBy("gram", "path").count().groupBy("gram").agg(F.sum("count").alias("n"), F.count("*").alias("files"))
 
