@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sylvan.llm import fingerprint, license_scan, media, ngram_join, packing, pii, secret_scan, sp_codec, toxicity, warc
@@ -143,19 +144,59 @@ def test_ngram_join_against_brute_force(spark, awkward):
             words[r.randrange(len(words))] = f"x{r.randrange(1000)}"
         rows.append((100 + k, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    small = ngram_join.BLOCK, ngram_join.TOGETHER
-    try:
-        for ngram_join.BLOCK, ngram_join.TOGETHER in (small, (4, 8)):  # blocks of their own, and visited ones
-            got = ngram_join.near_duplicates(docs).select("doc_id", "n_shingles", "n_similar", "component_id").collect()
-            assert sorted(map(tuple, got), key=repr) == brute(rows)
-    finally:
-        ngram_join.BLOCK, ngram_join.TOGETHER = small
+    for how in ({}, {"together": (8, 100), "block": 4}, {"together": (0, 0), "block": 1000}):  # in one task, and in blocks that are visited
+        got = ngram_join.near_duplicates(docs, **how).select("doc_id", "n_shingles", "n_similar", "component_id").collect()
+        assert sorted(map(tuple, got), key=repr) == brute(rows)
     assert ngram_join.near_duplicates(docs.where("false")).count() == 0
-    kept = ngram_join.keep_one(awkward)
-    assert kept.columns == awkward.columns
+    kept = ngram_join.keep_one(awkward.withColumnRenamed("bucket", "_row0").withColumnRenamed("key", "_key"))
+    assert kept.columns == ["_row0" if c == "bucket" else "_key" if c == "key" else c for c in awkward.columns]
     assert sorted([r["doc_id"] for r in kept.collect()], key=repr) == sorted([1, 2, 3, None, None, 5, 6, 7, 8], key=repr)
 
 
+def test_shingles_of_awkward_texts():
+    r = random.Random(4)
+    marks = ["a", "B", "b", " ", "\n", "é", "日", "\x0b", "longwordlongerword", "x" * 300, "  ", "\x00", "\u3000"]
+    texts = ["".join(r.choice(marks) for _ in range(r.randint(0, 30))) for _ in range(3000)] + ["", " ", "a", "a b", "A b C"]
+    known = {}
+    for part in (texts, texts[-1:], [""], []):
+        for t, s in zip(part, ngram_join.split(*ngram_join.shingle_batch(pa.array(part, pa.string())))):
+            own = frozenset(shingle_set(t))
+            assert len(own) == len(s) and (not own or known.setdefault(own, ngram_join.class_of(s)) == ngram_join.class_of(s))
+    assert len(set(known.values())) == len(known)
+
+
+@pytest.mark.parametrize("left, own", [(300, True), (120, True), (120, False), (3, False)])
+def test_matrix_against_brute_force(left, own):
+    r = np.random.default_rng(left)
+    bases = [r.integers(0, 3000, r.integers(5, 80)) for _ in range(15)]
+    sets = [np.unique(np.where(r.random(len(b := bases[r.integers(15)])) < 0.1, r.integers(0, 3000, len(b)), b)).astype(np.uint64) for _ in range(300)]
+    weight = r.integers(1, 5, 300)
+    was = ngram_join.BLOCK
+    try:
+        ngram_join.BLOCK = 16
+        add, up = ngram_join.match(np.concatenate(sets), np.array([len(s) for s in sets]), weight, left, own)
+    finally:
+        ngram_join.BLOCK = was
+    want, edges = np.zeros(300, int), []
+    for a, b in itertools.combinations(range(300), 2):
+        if (i := len(np.intersect1d(sets[a], sets[b]))) * 100 >= 70 * (len(sets[a]) + len(sets[b]) - i) and a < left and (own if b < left else True):
+            want[a] += weight[b]
+            want[b] += weight[a]
+            edges.append((a, b))
+    assert add.tolist() == want.tolist() and len(edges) > left
+    assert up.tolist() == ngram_join.roots_of(300, *np.array(edges).T).tolist()
+    for a, b in edges:
+        assert up[a] == up[b]
+
+
+def test_components_by_stars_and_at_once(spark):
+    r = random.Random(6)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000 + k, 1001 + k) for k in range(40)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    at_once, by_stars = ({x["cid"]: x["root"] for x in ngram_join.components(df, few).collect()} for few in (10_000, 0))
+    assert at_once == by_stars and len(at_once) > 200
+
+
 # packing
 
 
