@@ -4,11 +4,14 @@ shared folder, and a key look-up that survives hot keys."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,6 +92,59 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+U64 = np.uint64
+#: Masks of the first k bytes of a little-endian 64-bit number.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def scramble(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that mixes their bits."""
+    x = (x ^ (x >> U64(31))) * U64(0x7FB5D329728EA185)
+    x = (x ^ (x >> U64(27))) * U64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> U64(33))
+
+
+def spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All places of the stretches that begin at ``start`` and are ``n`` long."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def utf8(column: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The texts of an Arrow column one after another, and where each begins and the last ends; nulls are empty."""
+    if column.null_count:
+        column = column.fill_null("")
+    if not len(column):
+        return b"", np.zeros(1, np.int64)
+    _, offsets, data = column.buffers()
+    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(offsets, wide, len(column) + 1, column.offset * np.dtype(wide).itemsize).astype(np.int64)
+    return b"" if data is None else data.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes(), offsets - offsets[0]
+
+
+_kept: dict[tuple, object] = {}
+
+
+def kept(owner: str, key: object, make: Callable[[], object]) -> object:
+    """State that a Python worker keeps between its tasks, of one operator at a time: another's goes when it begins."""
+    forget(owner)
+    if (owner, key) not in _kept:
+        _kept.clear()
+        _kept[owner, key] = make()
+    return _kept[owner, key]
+
+
+def forget(owner: str = "") -> None:
+    """Drop what other operators kept in this worker, and give freed memory back to the system."""
+    if any(k[0] != owner for k in _kept):
+        _kept.clear()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def map_columns(df: DataFrame, fn: Callable[..., dict], schema: str | T.StructType, make: Callable[[], object] | None = None) -> DataFrame:
     """Run ``fn(state, *column_lists) -> {column: values}`` over Arrow batches of ``df``.
 
@@ -99,7 +155,10 @@ def map_columns(df: DataFrame, fn: Callable[..., dict], schema: str | T.StructTy
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = arrow_schema(struct)
 
+    owner = fn.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(owner)
         state = make() if make else None
         for batch in batches:
             if not batch.num_rows:

@@ -43,12 +43,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylvan.llm.common import Staged, arrow_schema, documents, lookup, map_columns, prepare
+from sylvan.llm.common import FIRST_BYTES, LOWER, Staged, arrow_schema, documents, forget, lookup, map_columns, prepare, scramble, spans, utf8
 
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 INK = bytes(int(c != 32 and not 9 <= c <= 13) for c in range(256))
 U64, LOW32 = np.uint64, np.uint64(0xFFFFFFFF)
-FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 PERCENT = 70
 #: A chunk is what a task sends at once; its documents are numbered in 16 bits.
 CHUNK_TOKENS, CHUNK_DOCS = 1_000_000, 60_000
@@ -70,12 +68,6 @@ def least_shared(n: np.ndarray | int) -> np.ndarray | int:
     return -(-PERCENT * n // 100)
 
 
-def scramble(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U64(31))) * U64(0x7FB5D329728EA185)
-    x = (x ^ (x >> U64(27))) * U64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> U64(33))
-
-
 def word_hashes(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of texts that stand one after another, and the number of each text's words."""
     size = len(data)
@@ -104,13 +96,7 @@ def word_hashes(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def shingle_batch(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Each text's distinct shingle hashes, sorted, one text after another; and their numbers."""
-    if column.null_count:
-        column = column.fill_null("")
-    _, offsets, data = column.buffers()
-    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
-    offsets = np.frombuffer(offsets, wide, len(column) + 1, column.offset * np.dtype(wide).itemsize).astype(np.int64) if len(column) else np.zeros(1, np.int64)
-    data = b"" if data is None else data.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes()
-    w, count = word_hashes(data, offsets - offsets[0])
+    w, count = word_hashes(*utf8(column))
     size = np.where(count >= 3, count - 2, np.minimum(count, 1))
     out = np.empty(int(size.sum()), U64)
     ends = np.cumsum(count)
@@ -203,6 +189,7 @@ def send(docs: DataFrame, parts: int) -> DataFrame:
     schema = arrow_schema(T.StructType.fromDDL(SENT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(__name__)
         seen: set[int] = set()
         base, chunk = TaskContext.get().partitionId() << 32, 0
         metas: list[tuple] = []
@@ -258,6 +245,7 @@ def answer(sent: DataFrame) -> DataFrame:
     schema = arrow_schema(T.StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(__name__)
         for _, rows in grouped(batches):
             passed = [r for r in rows if r[1] == 0]
             if passed:
@@ -291,6 +279,7 @@ def judge(answers: DataFrame) -> DataFrame:
     schema = arrow_schema(T.StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(__name__)
         for _, rows in grouped(batches):
             meta = next(pa.ipc.read_record_batch(pa.py_buffer(blob), META) for kind, blob in rows if kind == 0)
             known = meta.column("known").to_numpy().copy()
@@ -353,6 +342,7 @@ def sets_of(docs: DataFrame, wanted) -> DataFrame:
     schema = arrow_schema(T.StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(__name__)
         seen: set[int] = set()
         for batch in batches:
             texts = batch.column(1).filter(pa.array(wanted.value.has(batch.column(2).to_numpy())))
@@ -372,6 +362,7 @@ def chunks_of(sets: DataFrame, parts: int) -> DataFrame:
     schema = arrow_schema(T.StructType.fromDDL(SENT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(__name__)
         base, chunk, last = TaskContext.get().partitionId() << 32, 0, None
         cids: list[int] = []
         held: list[np.ndarray] = []
@@ -418,6 +409,7 @@ def count(sent: DataFrame) -> DataFrame:
     schema = arrow_schema(T.StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(__name__)
         for part, rows in grouped(batches):
             values = [np.frombuffer(blob, np.uint32) for _, blob in rows]
             by, lengths = runs_of(np.concatenate(values))
@@ -434,6 +426,7 @@ def first_shingles(told: DataFrame, parts: int) -> DataFrame:
     schema = arrow_schema(T.StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(__name__)
         for _, rows in grouped(batches):
             cid, n, tokens = unpack_sets(next(blob for part, blob in rows if part < 0))
             by, cuts = by_part(tokens, parts)
@@ -553,6 +546,7 @@ def forests(packed: DataFrame) -> DataFrame:
     schema = arrow_schema(T.StructType.fromDDL("a long, b long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(__name__)
         for _, rows in grouped(batches):
             token, doc, pos, cid, _, n = unpack([blob for (blob,) in rows])
             own, doc_of = np.unique(cid, return_inverse=True)
@@ -575,6 +569,7 @@ def visits(packed: DataFrame, wanted) -> DataFrame:
     schema = arrow_schema(T.StructType.fromDDL("cid long, grp long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(__name__)
         for _, rows in grouped(batches):
             token, doc, pos, cid, group, n = unpack([blob for (blob,) in rows])
             at = wanted.value.has(cid)[doc]
@@ -591,11 +586,6 @@ def visits(packed: DataFrame, wanted) -> DataFrame:
 # ---- exact links
 
 
-def spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """All places of the stretches that begin at ``start`` and are ``n`` long."""
-    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-
-
 def match(tokens: np.ndarray, n: np.ndarray, weight: np.ndarray, left: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
     """Documents linked with each class, and the smallest class that each is connected with.
 
@@ -680,6 +670,7 @@ def settle(placed: DataFrame) -> DataFrame:
     never = np.iinfo(np.int64).max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(__name__)
         out: list[tuple] = []
         for _, rows in grouped(batches):
             cid, weight, least, blobs = zip(*rows)
@@ -705,6 +696,7 @@ def open_blocks(placed: DataFrame) -> DataFrame:
     schema = arrow_schema(T.StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(__name__)
         key, members, guests, size = None, [], [], 0
 
         def open_(own: bool) -> Iterator[pa.RecordBatch]:

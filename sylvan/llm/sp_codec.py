@@ -14,7 +14,6 @@ table; only the named columns are read. Null ids stay null.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 
@@ -22,7 +21,7 @@ import numpy as np
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from sylvan.llm.common import doc_text, documents, map_columns
+from sylvan.llm.common import doc_text, documents, kept, map_columns
 
 MARK = "▁"
 LONG, GROUP = 256, 16
@@ -120,10 +119,9 @@ class ChunkTable(dict):
         return code, code.count(b" ") + 1, decoded
 
 
-@functools.lru_cache(2)
 def chunk_table(model_path: str) -> ChunkTable:
-    """One table for each Python worker, which serves many tasks."""
-    return ChunkTable(model_path)
+    """One table for each Python worker, which serves many tasks, until another operator runs there."""
+    return kept(__name__, model_path, lambda: ChunkTable(model_path))
 
 
 def encode_texts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:

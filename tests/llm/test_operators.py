@@ -235,11 +235,15 @@ def test_token_table():
     r = random.Random(3)
     table = packing.TokenTable(packing.tokenizer_path())
     parts = ["a", "B", "É", "ß", " ", "\n", ".", ",", "'s", "Σ", "İ", "1", "²", "日", "́", "<|endoftext|>", "\t", "Don't", "_", "ŉ"]
-    for k in range(1500):
-        s = "".join(r.choice(parts) for _ in range(r.randint(0, 9)))
-        if k % 2:
-            table.fill([s])
-        assert np.frombuffer(table.encode(s), "<u2").tolist() == table.tokenizer.encode(s, add_special_tokens=False).ids
+    parts += [",", "!!", "###", "ab", "x" * 9, "Ñ", "×", "“", "|", "<", '"', "?"]
+    for limit in (1_000_000, 50):  # as it is, and a table that is full again and again
+        table.limit = limit
+        table.clear(limit)
+        for _ in range(60):
+            texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(r.randint(0, 40))]
+            raw = [t.encode() for t in texts]
+            got = table.encode_all(b"".join(raw), np.cumsum([0, *map(len, raw)]))
+            assert [np.frombuffer(x, "<u2").tolist() for x in got] == [table.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 # fingerprints
