@@ -1,4 +1,4 @@
-"""The key space: absolute paths, and the metadata tree that mirrors it under /.vfs.
+"""The key space: absolute paths, and the metadata tree that mirrors it under /.meta.
 
 Every rule exists twice: as a Python function for arguments on the driver, and as a
 Column expression for data, which stays inside whole-stage codegen.
@@ -18,12 +18,12 @@ from pyspark.sql import types as T
 
 from sylvan.functions.shipping import ship
 
-ROOT, META, FRAME = "/", "/.vfs", "__meta__"
+ROOT, META, FRAME = "/", "/.meta", "__meta__"
 KINDS = ("file", "directory", "chunk", "version", "edge", "api")
 PLAIN_NAMES = frozenset(
     "makefile gnumakefile bsdmakefile kbuild dockerfile containerfile jenkinsfile vagrantfile procfile brewfile gemfile rakefile podfile fastfile justfile taskfile cmakelists license licence copying notice authors contributors maintainers owners codeowners readme changelog changes news history todo install version build workspace pipfile snakefile caddyfile".split()
 )
-_EDGE = re.compile(r"^/\.vfs(?P<own>/.+?)/__meta__/edges/(?P<dir>out|in)/(?P<type>[^/]+)(?P<other>/.+)$")
+_EDGE = re.compile(r"^/\.meta(?P<own>/.+?)/__meta__/edges/(?P<dir>out|in)/(?P<type>[^/]+)(?P<other>/.+)$")
 
 
 def normalize(path: str) -> str:
@@ -194,7 +194,7 @@ def depth_col(col: Column) -> Column:
 
 def kind_col(col: Column) -> Column:
     base = name_col(col)
-    out = F.when(col.rlike(r"^/\.vfs/.+?/__meta__/edges/(out|in)/[^/]+/.+"), "edge")
+    out = F.when(col.rlike(r"^/\.meta/.+?/__meta__/edges/(out|in)/[^/]+/.+"), "edge")
     for word, kind in (("chunks", "chunk"), ("versions", "version"), ("apis", "api")):
         out = out.when(col.contains(f"/{FRAME}/{word}/"), kind)
     out = out.when((col == ROOT) | (col == META) | col.startswith(META + "/"), "directory")
@@ -218,7 +218,7 @@ def edge_in_col(source: Column, target: Column, type: Column) -> Column:
 
 def split_edge_col(col: Column) -> Column:
     """struct(source, target, type, outgoing) of an edge path."""
-    part = lambda k: F.regexp_extract(col, r"^/\.vfs(/.+?)/__meta__/edges/(out|in)/([^/]+)(/.+)$", k)
+    part = lambda k: F.regexp_extract(col, r"^/\.meta(/.+?)/__meta__/edges/(out|in)/([^/]+)(/.+)$", k)
     out = part(2) == "out"
     own, other = part(1), part(4)
     return F.when(part(2) != "", F.struct(F.when(out, own).otherwise(other).alias("source"), F.when(out, other).otherwise(own).alias("target"), part(3).alias("type"), out.alias("outgoing")))

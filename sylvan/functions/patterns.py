@@ -7,13 +7,17 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TYPES: dict[str, tuple[str, ...]] = {
-    "c": ("c", "h"), "cpp": ("cpp", "cc", "cxx", "hpp", "hh", "hxx"), "cs": ("cs",), "css": ("css", "scss", "sass", "less"), "csv": ("csv",), "dart": ("dart",), "elixir": ("ex", "exs"), "erlang": ("erl", "hrl"),
-    "go": ("go",), "graphql": ("graphql", "gql"), "haskell": ("hs", "lhs"), "html": ("html", "htm"), "java": ("java",), "js": ("js", "jsx", "mjs", "cjs"), "javascript": ("js", "jsx", "mjs", "cjs"), "json": ("json", "jsonl"),
-    "julia": ("jl",), "kotlin": ("kt", "kts"), "lua": ("lua",), "markdown": ("md", "markdown", "mdx"), "md": ("md", "markdown", "mdx"), "perl": ("pl", "pm"), "php": ("php",), "proto": ("proto",), "py": ("py", "pyi", "pyx"), "python": ("py", "pyi", "pyx"),
-    "r": ("r", "rmd"), "rst": ("rst",), "ruby": ("rb", "rake"), "rb": ("rb", "rake"), "rust": ("rs",), "rs": ("rs",), "scala": ("scala", "sc"), "sh": ("sh", "bash", "zsh"), "shell": ("sh", "bash", "zsh"), "sql": ("sql",), "swift": ("swift",),
-    "tex": ("tex", "bib"), "toml": ("toml",), "ts": ("ts", "tsx", "mts", "cts"), "typescript": ("ts", "tsx", "mts", "cts"), "txt": ("txt", "text"), "text": ("txt", "text"), "vue": ("vue",), "xml": ("xml", "xsd", "xsl"), "yaml": ("yaml", "yml"), "yml": ("yaml", "yml"), "zig": ("zig",),
-}
+#: Extensions, and the type names that stand for them beside their own.
+_TYPES = """
+clj cljs cljc edn: clojure | cls sty ltx tex: tex | cfg ini: ini | cc cpp cxx h hh hpp hxx: cpp cxx | c h: c | cmake: cmake | cs: cs csharp
+css: css | csv: csv | diff patch: diff patch | dockerfile: docker dockerfile | erl hrl: erlang | ex exs: elixir | fish: fish | fish zsh bash sh: bash sh
+go: go | gql graphql: gql graphql | groovy gsh gvy gy: groovy | hs lhs: haskell | htm html: html | java: java | cjs js mjs: javascript js
+json: json | jsonc: jsonc | jsonl ndjson: jsonl | jsx: jsx | kt kts: kotlin kt | less: less | log: log | lua: lua | mak makefile mk: make makefile
+markdown md mdown mkdn: markdown md | ml mli: ocaml | nix: nix | org: org | php phps phtml: php | pl pm t: perl pl | proto: proto protobuf
+py pyi: py python | r: r | rb rbw: rb ruby | rs: rs rust | rst: rst | sass scss: sass scss | sc scala: scala | sql: sql | svelte: svelte | swift: swift
+tf tfvars: terraform tf | hcl tf tfvars: hcl | toml: toml | ts tsx: ts typescript | tsv: tsv | tsx: tsx | text txt: txt | vue: vue | xml: xml | yaml yml: yaml yml | zig: zig | zsh: zsh
+"""
+TYPES: dict[str, tuple[str, ...]] = {n: tuple(e.split()) for e, names in (x.split(":") for x in _TYPES.replace("\n", "|").split("|") if x.strip()) for n in names.split()}
 
 
 def extensions_of(names: tuple[str, ...] | list[str]) -> list[str]:

@@ -79,6 +79,23 @@ def _anchored(lines: list[str], at: list[int], wanted: list[str]) -> list[tuple[
     return [(at[i], at[j] + len(lines[j]))] if best[0] >= (0.6 if len(rated) == 1 else 0.3) else []
 
 
+def line_number(text: str, at: int) -> int:
+    """The number, from 1, of the line that a place lies in."""
+    return text.count("\n", 0, at) + 1
+
+
+def in_context(text: str, start: int, end: int, around: int = 3) -> str:
+    """The numbered lines of a stretch, marked, with some before and after."""
+    lines, a, b = text.split("\n"), line_number(text, start), line_number(text, end)
+    return "\n".join(f"{k:4d} {'>' if a <= k <= b else ' '} {lines[k - 1]}" for k in range(max(1, a - around), min(len(lines), b + around) + 1))
+
+
+def _several(text: str, found: list[tuple[int, int]]) -> str:
+    """What to say of a stretch that is found more than once: the line of each place and what stands around it."""
+    shown = "\n\n---\n\n".join(f"Match at line {line_number(text, a)}:\n{in_context(text, a, b)}" for a, b in found)
+    return f"Found {len(found)} matches; give more context to pick one.\n\n{shown}"
+
+
 def edit(content: str, old: str, new: str, every: bool = False) -> Edited:
     """Replace a stretch: exact, else by trimmed lines, else by anchors with an alike middle."""
     if not old:
@@ -89,8 +106,7 @@ def edit(content: str, old: str, new: str, every: bool = False) -> Edited:
     if (n := content.count(old)) and (every or n == 1):
         return Edited(content.replace(old, new), method="exact")
     if n:
-        places = ", ".join(str(content.count("\n", 0, m.start()) + 1) for m in re.finditer(re.escape(old), content))
-        return Edited(error=f"{n} matches, at lines {places}; give more context", method="exact")
+        return Edited(error=_several(content, [m.span() for m in re.finditer(re.escape(old), content)]), method="exact")
     lines, wanted = content.split("\n"), old.removesuffix("\n").split("\n")
     at, k = [], 0
     for x in lines:
@@ -102,7 +118,7 @@ def edit(content: str, old: str, new: str, every: bool = False) -> Edited:
         if every:
             return Edited(error=f"all can be replaced only by exact matches, not by {method}", method=method)
         if len(found) > 1:
-            return Edited(error=f"{len(found)} matches by {method}; give more context", method=method)
+            return Edited(error=_several(content, found), method=method)
         a, b = found[0]
         return Edited(content[:a] + new + content[b:], method=method)
     return Edited(error="text not found")

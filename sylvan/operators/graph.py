@@ -1,8 +1,8 @@
 """Directed graphs over paths: edges (src, dst[, type]); the nodes are the ends of edges.
 
-Neighbours and reachability are joins of a frontier with the edges, written out as they
-grow. Ranks and subgraphs of graphs up to LOCAL_EDGES edges (a count comes first) are
-computed from adjacency arrays; larger graphs take the same rounds as joins.
+Neighbours are joins. Reachability, ranks and subgraphs of graphs up to LOCAL_EDGES edges (no
+more than that are fetched) are computed from adjacency arrays; larger graphs take the same
+rounds as joins, written out as they go.
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sylvan.functions import paths as P
 from sylvan.functions.shipping import ship
@@ -22,6 +24,8 @@ from sylvan.operators.scan import seeds
 from sylvan.sources.staging import cut
 
 LOCAL_EDGES = 2_000_000
+#: More seeds than this are matched with the graph's nodes before they come to the driver.
+MANY_SEEDS = 100_000
 DAMPING, TOLERANCE, ROUNDS = 0.85, 1e-6, 100
 
 
@@ -49,17 +53,42 @@ def _seeds(edges: DataFrame, wanted: Iterable[str] | DataFrame | Relation) -> Da
 def predecessors(edges: DataFrame, wanted: Iterable[str] | DataFrame | Relation) -> Relation:
     own = _seeds(edges, wanted)
     out = edges.join(own.withColumnRenamed("path", "dst"), "dst", "left_semi").select(F.col("src").alias("path")).distinct().join(own, "path", "left_anti")
-    return Relation.of(out, "predecessors")
+    return Relation.by_path(out, "predecessors")
 
 
 def successors(edges: DataFrame, wanted: Iterable[str] | DataFrame | Relation) -> Relation:
     own = _seeds(edges, wanted)
     out = edges.join(own.withColumnRenamed("path", "src"), "src", "left_semi").select(F.col("dst").alias("path")).distinct().join(own, "path", "left_anti")
-    return Relation.of(out, "successors")
+    return Relation.by_path(out, "successors")
 
 
-def reach(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
-    """(path, depth) of all that can be reached from (path), itself at depth 0.
+def reach(edges: DataFrame, start: DataFrame, most: int | None = None, how: str = "out") -> DataFrame:
+    """(path, depth) of all that can be reached from (path), itself at depth 0; along edges (out), against them (in), or either way (both).
+
+    Graphs of few edges are searched as arrays.
+    """
+    g = local(edges)
+    if g is None:
+        back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        return reach_joins(edges if how == "out" else back if how == "in" else both_ways(edges), start, most)
+    src, dst = (g.src, g.dst) if how == "out" else (g.dst, g.src) if how == "in" else (np.concatenate([g.src, g.dst]), np.concatenate([g.dst, g.src]))
+    begin, near = g.lists(src, dst)
+    depth = np.full(g.n, -1, np.int32)
+    # of the wanted paths only those in the graph come to the driver, at most as many as it has nodes
+    own = start.join(nodes(edges), "path", "left_semi") if start.count() > MANY_SEEDS else start
+    level = g.numbers(own.select("path").toArrow().column(0).to_pylist())
+    at = 0
+    while len(level) and (most is None or at <= most):
+        depth[level] = at
+        to = np.unique(near[_ranges(begin[level], begin[level + 1])])
+        level, at = to[depth[to] < 0], at + 1
+    found = np.flatnonzero(depth >= 0)
+    table = pa.table({"path": pa.array(g.paths[found].tolist(), pa.string()), "depth": pa.array(depth[found])})
+    return edges.sparkSession.createDataFrame(table, T.StructType([T.StructField("path", T.StringType()), T.StructField("depth", T.IntegerType())]))
+
+
+def reach_joins(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
+    """The same over a graph of any size.
 
     A frontier is joined with the edges until nothing is new; each round is written to the
     shared folder, so the plan stays short and an executor's loss costs one round.
@@ -79,12 +108,11 @@ def reach(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFr
 
 
 def descendants(edges: DataFrame, wanted: Iterable[str] | DataFrame | Relation) -> Relation:
-    return Relation.of(reach(edges, _seeds(edges, wanted)).where("depth > 0").select("path"), "descendants")
+    return Relation.by_path(reach(edges, _seeds(edges, wanted)).where("depth > 0").select("path"), "descendants")
 
 
 def ancestors(edges: DataFrame, wanted: Iterable[str] | DataFrame | Relation) -> Relation:
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return Relation.of(reach(back, _seeds(edges, wanted)).where("depth > 0").select("path"), "ancestors")
+    return Relation.by_path(reach(edges, _seeds(edges, wanted), how="in").where("depth > 0").select("path"), "ancestors")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -104,8 +132,8 @@ def induced(edges: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def neighborhood(edges: DataFrame, wanted: Iterable[str] | DataFrame | Relation, depth: int = 2) -> Relation:
-    kept = reach(both_ways(edges), _seeds(edges, wanted), depth).select("path")
-    return Relation.of(induced(edges, kept), "neighborhood")
+    kept = reach(edges, _seeds(edges, wanted), depth, "both").select("path")
+    return Relation.by_path(induced(edges, kept), "neighborhood")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -120,18 +148,30 @@ def degree_centrality(edges: DataFrame, which: str = "both") -> Relation:
     n = d.agg(F.count("*").alias("n"))
     value = {"both": F.col("in_degree") + F.col("out_degree"), "in": F.col("in_degree"), "out": F.col("out_degree")}[which]
     rows = d.crossJoin(F.broadcast(n))  # one row
-    return Relation.of(rows.select("path", F.when(F.col("n") > 1, value / (F.col("n") - 1)).otherwise(0.0).alias("score"), "in_degree", "out_degree"), {"both": "degree_centrality", "in": "in_degree_centrality", "out": "out_degree_centrality"}[which]).sort()
+    return Relation.by_path(rows.select("path", F.when(F.col("n") > 1, value / (F.col("n") - 1)).otherwise(0.0).alias("score"), "in_degree", "out_degree"), {"both": "degree_centrality", "in": "in_degree_centrality", "out": "out_degree_centrality"}[which]).sort()
 
 
 class Adjacency:
     """A graph of bounded size as arrays; nodes are numbered in path order."""
 
-    def __init__(self, pdf: pd.DataFrame):
-        self.paths, codes = np.unique(np.concatenate([pdf["src"].to_numpy(object), pdf["dst"].to_numpy(object)]).astype(str), return_inverse=True) if len(pdf) else (np.empty(0, str), np.empty(0, int))
-        m = len(pdf)
+    def __init__(self, edges: pa.Table):
+        ends = pa.chunked_array([*edges.column("src").chunks, *edges.column("dst").chunks], pa.string()).combine_chunks().dictionary_encode()
+        ends = ends.combine_chunks() if isinstance(ends, pa.ChunkedArray) else ends
+        names = np.array(ends.dictionary.to_pylist(), dtype=object).astype(str) if len(ends) else np.empty(0, str)
+        by = np.argsort(names)
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        codes = place[ends.indices.to_numpy()] if len(ends) else np.empty(0, np.int64)
+        self.paths, m = names[by], len(edges)
         self.src, self.dst = codes[:m], codes[m:]
         self.n = len(self.paths)
 
+    def numbers(self, paths: Iterable[str]) -> np.ndarray:
+        """Nodes of those of the paths that the graph has."""
+        wanted = np.array(sorted(set(paths)), dtype=object).astype(str)
+        at = np.minimum(np.searchsorted(self.paths, wanted), max(0, self.n - 1))
+        return at[self.paths[at] == wanted] if self.n and len(wanted) else np.empty(0, np.int64)
+
     def lists(self, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and neighbours of each node."""
         by = np.lexsort((dst, src))
@@ -141,7 +181,7 @@ class Adjacency:
 def local(edges: DataFrame) -> Adjacency | None:
     """The graph on the driver, where its edges are few enough; None otherwise."""
     one = pairs(edges)
-    found = one.limit(LOCAL_EDGES + 1).toArrow().to_pandas()
+    found = one.limit(LOCAL_EDGES + 1).toArrow()
     return Adjacency(found) if len(found) <= LOCAL_EDGES else None
 
 
@@ -149,7 +189,7 @@ def _scored(edges: DataFrame, scores: DataFrame, function: str, candidates: Iter
     rows = scores.join(degrees(edges), "path")
     if candidates is not None:
         rows = rows.join(_seeds(edges, candidates), "path", "left_semi")
-    return Relation.of(rows, function).sort()
+    return Relation.by_path(rows, function).sort()
 
 
 def _frame(edges: DataFrame, g: Adjacency, values: np.ndarray) -> DataFrame:
@@ -263,35 +303,57 @@ def betweenness_centrality(edges: DataFrame, candidates: Iterable[str] | DataFra
     start, near = g.lists(g.src, g.dst)
     n = g.n
     scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    width = max(1, min(32, 16_000_000 // max(1, n + len(near))))
 
     def work(sources: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         total = np.zeros(n)
-        for s in sources:
-            dist, count = np.full(n, -1), np.zeros(n)
-            dist[s], count[s] = 0, 1
-            levels, level = [], np.array([s])
-            while len(level):
-                levels.append(level)
-                own = np.repeat(level, start[level + 1] - start[level])
-                to = near[_ranges(start[level], start[level + 1])]
-                fresh = dist[to] < 0
-                dist[to[fresh]] = len(levels)
-                on = dist[to] == len(levels)
-                np.add.at(count, to[on], count[own[on]])
-                level = np.unique(to[fresh])
-            part = np.zeros(n)
-            for level in levels[-2::-1]:
-                own = np.repeat(level, start[level + 1] - start[level])
-                to = near[_ranges(start[level], start[level + 1])]
-                on = dist[to] == dist[own] + 1
-                np.add.at(part, own[on], count[own[on]] / count[to[on]] * (1 + part[to[on]]))
-            part[s] = 0
-            total += part
+        for k in range(0, len(sources), width):
+            total += _dependencies(start, near, sources[k : k + width])
         return np.arange(n), total * scale
 
     return _scored(edges, _per_source(edges, g, work), "betweenness_centrality", candidates)
 
 
+def _dependencies(start: np.ndarray, near: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """Each node's share in the shortest paths from these sources, which are searched together, a column each."""
+    n, k = len(start) - 1, len(sources)
+    out = start[1:] - start[:-1]
+    dist, count = np.full((n, k), -1, np.int16), np.zeros((n, k))
+    dist[sources, np.arange(k)], count[sources, np.arange(k)] = 0, 1
+    levels, level = [], np.unique(sources)
+    while len(level):
+        levels.append(level)
+        depth = len(levels)
+        level = level[out[level] > 0]
+        own, to = np.repeat(level, out[level]), near[_ranges(start[level], start[level + 1])]
+        open_ = (dist[to] < 0).any(1) if len(to) else np.empty(0, bool)
+        own, to = own[open_], to[open_]
+        if not len(to):
+            break
+        by = np.argsort(to, kind="stable")
+        own, to = own[by], to[by]
+        first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+        sent = np.add.reduceat(np.where(dist[own] == depth - 1, count[own], 0.0), first)
+        to = to[first]
+        fresh = (dist[to] < 0) & (sent > 0)
+        dist[to] = np.where(fresh, depth, dist[to])
+        count[to] = np.where(fresh, sent, count[to])
+        level = to[fresh.any(1)]
+    part = np.zeros((n, k))
+    for depth in range(len(levels) - 2, -1, -1):
+        below = levels[depth + 1]
+        share = np.zeros((n, k))
+        share[below] = np.where(dist[below] == depth + 1, (1 + part[below]) / np.maximum(count[below], 1), 0.0)
+        level = levels[depth][out[levels[depth]] > 0]
+        if not len(level):
+            continue
+        first = np.concatenate([[0], np.cumsum(out[level])[:-1]])
+        got = np.add.reduceat(share[near[_ranges(start[level], start[level + 1])]], first)
+        part[level] += np.where(dist[level] == depth, count[level] * got, 0.0)
+    part[sources, np.arange(k)] = 0
+    return part.sum(1)
+
+
 def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All numbers of the ranges a[i] to b[i], one after another."""
     n = b - a
@@ -338,23 +400,32 @@ def closeness_centrality(edges: DataFrame, candidates: Iterable[str] | DataFrame
         n = nodes(pairs(edges)).count()
         got = d.groupBy("path").agg(F.count("*").alias("k"), F.sum("dist").alias("far"))
         return _scored(edges, got.select("path", F.when(F.col("far") > 0, (F.col("k") - 1) / F.col("far") * (F.col("k") - 1) / (n - 1)).otherwise(0.0).alias("score")), "closeness_centrality", candidates)
-    start, near = g.lists(g.dst, g.src)
-    n = g.n
-
-    def work(sources: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out = np.zeros(len(sources))
-        for k, s in enumerate(sources):
-            seen = np.zeros(n, bool)
-            seen[s] = True
-            level, depth, far, reached = np.array([s]), 0, 0, 1
-            while len(level):
+    # edges by source, as paths are followed back to their starts; 64 targets share a word
+    by = np.argsort(g.src, kind="stable")
+    own, to, n = g.src[by], g.dst[by], g.n
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if n else np.empty(0, int)
+    rows = own[first]
+
+    def work(targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = np.zeros(len(targets))
+        for k in range(0, len(targets), 64):
+            some = targets[k : k + 64]
+            seen = np.zeros(n, np.uint64)
+            np.bitwise_or.at(seen, some, np.uint64(1) << np.arange(len(some), dtype=np.uint64))
+            level, depth = seen.copy(), 0
+            far, reached = np.zeros(64, np.int64), np.ones(64, np.int64)
+            while level.any():
                 depth += 1
-                to = np.unique(near[_ranges(start[level], start[level + 1])])
-                level = to[~seen[to]]
-                seen[level] = True
-                far, reached = far + depth * len(level), reached + len(level)
-            out[k] = (reached - 1) / far * (reached - 1) / (n - 1) if far else 0.0
-        return sources, out
+                level_of = np.zeros(n, np.uint64)
+                level_of[rows] = np.bitwise_or.reduceat(level[to], first)
+                level = level_of & ~seen
+                seen |= level
+                some_rows = level[level > 0]
+                new = np.unpackbits(some_rows.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+                far, reached = far + depth * new, reached + new
+            m = slice(0, len(some))
+            out[k : k + len(some)] = np.divide((reached[m] - 1) * (reached[m] - 1), far[m] * (n - 1), out=np.zeros(len(some)), where=far[m] > 0)
+        return targets, out
 
     return _scored(edges, _per_source(edges, g, work), "closeness_centrality", candidates)
 
@@ -369,15 +440,17 @@ def meeting_subgraph(edges: DataFrame, wanted: Iterable[str] | DataFrame | Relat
     """
     own = _seeds(edges, wanted)
     g = local(edges)
-    depth = 1
+    depth, before = 1, -1
     while g is None:
-        near = reach(both_ways(edges), own, depth).select("path")
+        near = reach_joins(both_ways(edges), own, depth).select("path")
         inner = edges.join(near.withColumnRenamed("path", "src"), "src", "left_semi").join(near.withColumnRenamed("path", "dst"), "dst", "left_semi")
-        g = local(inner)
-        if g is None:
+        some = local(inner)
+        if some is None:
             raise ValueError("the seeds' neighbourhood is larger than the bound for subgraphs")
-        if depth < 64 and not _connected(g, [r[0] for r in own.collect()]):
-            g, depth = None, depth * 2
+        # until the seeds are connected or nothing more can be reached from them
+        if some.n == before or _connected(some, [r[0] for r in own.collect()]):
+            g = some
+        depth, before = depth * 2, some.n
     at = {p: k for k, p in enumerate(g.paths.tolist())}
     start = sorted(at[r[0]] for r in own.collect() if r[0] in at)
     name = "min_meeting_subgraph" if minimal else "meeting_subgraph"
@@ -386,7 +459,7 @@ def meeting_subgraph(edges: DataFrame, wanted: Iterable[str] | DataFrame | Relat
         kept = _shrink(g, kept, set(start))
     spark = edges.sparkSession
     rows = spark.createDataFrame([(str(g.paths[k]),) for k in sorted(kept)], "path string")
-    return Relation.of(rows if len(start) < 2 else induced(edges, rows), name)
+    return Relation.by_path(rows if len(start) < 2 else induced(edges, rows), name)
 
 
 def _near(g: Adjacency) -> list[list[int]]:

@@ -48,7 +48,7 @@ def grep(entries: DataFrame, pattern: str, paths: Iterable[str] = (), ext: Itera
         found = windows(hits, before, after).groupBy("path").agg(F.count("*").cast("double").alias("score"), F.transform(F.sort_array(F.collect_list(F.struct("match", "start", "end"))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"))).alias("lines"))
     else:
         found = hits.groupBy("path").agg(F.count("*").cast("double").alias("score"))
-    out = Relation.of(found.withColumn("kind", F.lit("file")), "grep")
+    out = Relation.by_path(found.withColumn("kind", F.lit("file")), "grep")
     if candidates is not None:
         lead = candidates.df.select("path", F.col("_side").alias("_s"), F.col("_rank").alias("_r"))
         out = out._with(out.df.drop("_side", "_rank").join(lead, "path").withColumnRenamed("_s", "_side").withColumnRenamed("_r", "_rank").select(*FIELDS, "_side", "_rank"), sides=candidates.sides)

@@ -61,7 +61,7 @@ def bm25(docs: DataFrame, query: str) -> DataFrame:
 def lexical_search(entries: DataFrame, query: str, k: int = 15, candidates: Relation | None = None) -> Relation:
     """The k best texts; the wide content joins only after they are chosen."""
     docs = corpus(entries, candidates)
-    best = Relation.of(bm25(docs.select("path", "content", "lexical_tokens"), query), "lexical_search").top(k)
+    best = Relation.by_path(bm25(docs.select("path", "content", "lexical_tokens"), query), "lexical_search").top(k)
     wide = F.broadcast(best.df.select("path", "score", "_rank"))  # k rows
     rows = docs.select("path", "kind", "content", "size_bytes", "updated_at").join(wide, "path")
-    return Relation.of(rows, "lexical_search")
+    return Relation.by_path(rows, "lexical_search")

@@ -35,11 +35,19 @@ class Relation:
     errors: tuple[str, ...] = ()
     sides: int = 1
     fields: tuple[str, ...] = field(default=("path",))
+    #: Whether no path is known to stand twice.
+    keyed: bool = False
 
     @classmethod
     def of(cls, df: DataFrame, function: str = "", errors: Iterable[str] = ()) -> Relation:
+        """Rows from anywhere, in which paths may repeat."""
         return cls(conform(df), function, tuple(errors), 1, tuple(f for f in FIELDS if f in df.columns))
 
+    @classmethod
+    def by_path(cls, df: DataFrame, function: str = "", errors: Iterable[str] = ()) -> Relation:
+        """Rows of which each has a path of its own, as all operators give them."""
+        return replace(cls.of(df, function, errors), keyed=True)
+
     @property
     def success(self) -> bool:
         return not self.errors
@@ -63,7 +71,7 @@ class Relation:
         return other.function if not self.function else "hybrid"
 
     def _paired(self, other: Relation, how: str) -> DataFrame:
-        a, b = self.df.alias("a"), other.df.alias("b")
+        a, b = self.unique().df.alias("a"), other.unique().df.alias("b")
         both = a.join(b, F.col("a.path") == F.col("b.path"), how)
         side = F.when(F.col("a.path").isNotNull(), F.col("a._side")).otherwise(F.col("b._side") + self.sides)
         rank = F.when(F.col("a.path").isNotNull(), F.col("a._rank")).otherwise(F.col("b._rank"))
@@ -71,7 +79,7 @@ class Relation:
 
     def _merged(self, other: Relation, how: str, sides: int) -> Relation:
         known = tuple(f for f in FIELDS if f in self.fields or f in other.fields)
-        return Relation(self._paired(other, how), self._named(other), self.errors + other.errors, sides, known)
+        return Relation(self._paired(other, how), self._named(other), self.errors + other.errors, sides, known, True)
 
     def __and__(self, other: Relation) -> Relation:
         """Paths that both have; the left value of a column wins where it is set."""
@@ -82,12 +90,15 @@ class Relation:
         return self._merged(other, "full_outer", self.sides + other.sides)
 
     def __sub__(self, other: Relation) -> Relation:
-        return self._with(self.df.join(other.df.select("path"), "path", "left_anti").select(*FIELDS, *HIDDEN))
+        return self._with(self.unique().df.join(other.df.select("path"), "path", "left_anti").select(*FIELDS, *HIDDEN), keyed=True)
 
     def unique(self) -> Relation:
-        """One row a path: of repeated ones the last by score and size."""
-        best = F.max_by(F.struct(*[c for c in FIELDS if c != "path"], *HIDDEN), F.struct(F.coalesce("score", F.lit(float("-inf"))), F.coalesce("size_bytes", F.lit(0))))
-        return self._with(self.df.groupBy("path").agg(best.alias("x")).select("path", "x.*").select(*FIELDS, *HIDDEN))
+        """One row a path: of repeated ones the last in the order of the rows."""
+        if self.keyed:
+            return self
+        placed = self.df.withColumn("_at", F.monotonically_increasing_id())
+        last = F.max_by(F.struct(*[c for c in FIELDS if c != "path"], *HIDDEN), F.struct(*HIDDEN, "_at"))
+        return self._with(placed.groupBy("path").agg(last.alias("x")).select("path", "x.*").select(*FIELDS, *HIDDEN), keyed=True)
 
     def sort(self, reverse: bool = True) -> Relation:
         """Stable, by score, the highest first; an unset score is the lowest."""
@@ -141,15 +152,15 @@ class Relation:
         """Paths below a mount; both ends of edge paths move."""
         e = P.split_edge_col(F.col("path"))
         moved = F.when(F.col("path") == "/", prefix).when(e.isNotNull(), F.when(e["outgoing"], P.edge_out_col(F.concat(F.lit(prefix), e["source"]), F.concat(F.lit(prefix), e["target"]), e["type"])).otherwise(P.edge_in_col(F.concat(F.lit(prefix), e["source"]), F.concat(F.lit(prefix), e["target"]), e["type"])))
-        moved = moved.when(F.col("path").startswith(P.META + "/"), F.concat(F.lit(P.META + prefix), F.substring("path", len(P.META) + 1, 4096))).otherwise(F.concat(F.lit(prefix), F.col("path")))
+        moved = moved.when(F.col("path").startswith(P.META + "/"), F.concat(F.lit(P.META + prefix), F.substr("path", F.lit(len(P.META) + 1)))).otherwise(F.concat(F.lit(prefix), F.col("path")))
         return self._with(self.df.withColumn("path", moved))
 
     def strip_scope(self, user: str) -> Relation:
         lead = f"/{user}"
-        cut = lambda c: F.when(c == lead, "/").when(c.startswith(lead + "/"), F.substring(c, len(lead) + 1, 4096)).otherwise(c)
+        cut = lambda c: F.when(c == lead, "/").when(c.startswith(lead + "/"), F.substr(c, F.lit(len(lead) + 1))).otherwise(c)
         e = P.split_edge_col(F.col("path"))
         back = F.when(e.isNotNull(), F.when(e["outgoing"], P.edge_out_col(cut(e["source"]), cut(e["target"]), e["type"])).otherwise(P.edge_in_col(cut(e["source"]), cut(e["target"]), e["type"])))
-        back = back.when(F.col("path").startswith(P.META + "/"), F.concat(F.lit(P.META), cut(F.substring("path", len(P.META) + 1, 4096)))).otherwise(cut(F.col("path")))
+        back = back.when(F.col("path").startswith(P.META + "/"), F.concat(F.lit(P.META), cut(F.substr("path", F.lit(len(P.META) + 1))))).otherwise(cut(F.col("path")))
         return self._with(self.df.withColumn("path", back))
 
     def project(self, names: Iterable[str] | None = None) -> tuple[str, ...]:

@@ -26,7 +26,7 @@ def seeds(entries: DataFrame, wanted: Iterable[str] | DataFrame | Relation) -> D
 
 
 def read(entries: DataFrame, wanted: Iterable[str] | DataFrame | Relation, columns: tuple[str, ...] = ("kind", "content", "size_bytes", "updated_at"), function: str = "read") -> Relation:
-    return Relation.of(live(entries).join(seeds(entries, wanted), "path", "left_semi").select("path", *columns), function)
+    return Relation.by_path(live(entries).join(seeds(entries, wanted), "path", "left_semi").select("path", *columns), function)
 
 
 def not_found(entries: DataFrame, wanted: Iterable[str] | DataFrame | Relation) -> DataFrame:
@@ -48,13 +48,13 @@ def inverse_edges(edges: DataFrame) -> DataFrame:
 
 
 def ls(entries: DataFrame, wanted: Iterable[str] | DataFrame | Relation, edges: DataFrame | None = None) -> Relation:
-    """Direct children; metadata shows only below /.vfs."""
+    """Direct children; metadata shows only below /.meta."""
     parents = seeds(entries, wanted).withColumnRenamed("path", "parent_path")
     rows = live(entries).where(F.col("kind").isin("file", "directory") | F.col("parent_path").startswith(P.META)).select("path", "parent_path", "kind", "size_bytes", "updated_at")
     if edges is not None:
         view = inverse_edges(edges).withColumn("parent_path", P.parent_col(F.col("path")))
         rows = rows.unionByName(view, allowMissingColumns=True)
-    return Relation.of(rows.where("path <> '/'").join(parents, "parent_path", "left_semi").drop("parent_path"), "ls")
+    return Relation.by_path(rows.where("path <> '/'").join(parents, "parent_path", "left_semi").drop("parent_path"), "ls")
 
 
 def tree(entries: DataFrame, root: str = "/", depth: int | None = None, every: bool = False) -> Relation:
@@ -68,7 +68,24 @@ def tree(entries: DataFrame, root: str = "/", depth: int | None = None, every: b
         rows = rows.where(F.col("kind").isin("file", "directory") & ~F.col("path").startswith(P.META + "/"))
     if depth is not None:
         rows = rows.where(P.depth_col(F.col("path")) <= lead.count("/") + depth - 1)
-    return Relation.of(rows.select("path", "kind", "size_bytes", "updated_at"), "tree")
+    return Relation.by_path(rows.select("path", "kind", "size_bytes", "updated_at"), "tree")
+
+
+def trees(entries: DataFrame, roots: DataFrame, depth: int | None = None, every: bool = False) -> Relation:
+    """Everything below any of the directories (path), by equal joins on ancestors; a depth counts from each root."""
+    if depth is not None and depth < 1:
+        raise ValueError("depth must be at least 1")
+    rows = live(entries).where("path <> '/'")
+    if not every:
+        rows = rows.where(F.col("kind").isin("file", "directory"))
+    plain = F.col("path")
+    ups = rows.select("path", F.explode(F.concat(F.array(F.lit("/")), P.ancestors_col(plain))).alias("root"))
+    ups = ups.where(F.col("root") != F.col("path")).join(roots.select(F.col("path").alias("root")).distinct(), "root", "left_semi")
+    if not every:
+        ups = ups.where(F.col("root").startswith(P.META) | ~F.col("path").startswith(P.META + "/"))
+    if depth is not None:
+        ups = ups.where(P.depth_col(F.col("path")) - F.when(F.col("root") == "/", 0).otherwise(P.depth_col(F.col("root"))) <= depth)
+    return Relation.by_path(rows.join(ups.select("path").distinct(), "path", "left_semi").select("path", "kind", "size_bytes", "updated_at"), "tree")
 
 
 def structural(ext: Iterable[str] = (), ext_not: Iterable[str] = (), paths: Iterable[str] = (), globs: Iterable[str] = (), globs_not: Iterable[str] = (), keep_unknown: bool = False) -> Column:
@@ -112,4 +129,4 @@ def glob(entries: DataFrame, pattern: str, paths: Iterable[str] = (), ext: Itera
     else:
         test = G.glob_col(F.col("path"), pattern)
     rows = rows.where(test & structural(ext=ext, paths=paths))
-    return Relation.of(rows.select("path", "kind", "size_bytes", "updated_at"), "glob").limit(max_count)
+    return Relation.by_path(rows.select("path", "kind", "size_bytes", "updated_at"), "glob").limit(max_count)

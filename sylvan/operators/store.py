@@ -22,6 +22,7 @@ from sylvan.schema import ENTRY
 from sylvan.sources.tables import derive
 
 NAMES = ENTRY.fieldNames()
+_OF_VERSION = r"^/\.meta(/.+)/__meta__/versions/"
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,7 @@ def _errors(df: DataFrame) -> DataFrame:
 
 
 def _touched(rows: DataFrame, function: str) -> Relation:
-    return Relation.of(rows.select("path", "kind", "size_bytes", "updated_at"), function)
+    return Relation.by_path(rows.select("path", "kind", "size_bytes", "updated_at"), function)
 
 
 def refused_col(path: Column, kind: Column) -> Column:
@@ -48,13 +49,18 @@ def refused_col(path: Column, kind: Column) -> Column:
         .when(path.rlike(r"[\x00-\x1f\x7f-\x9f]"), F.lit("path has a control character"))
         .when(path.rlike(r"[^/]{256,}"), F.lit("a segment is longer than 255 characters"))
         .when(path.contains(f"/{P.FRAME}/edges/in/"), F.lit("incoming edges are a view; write the outgoing edge"))
-        .when(inner & ~path.contains(f"/{P.FRAME}"), F.concat(F.lit("no free content under /.vfs: "), path))
+        .when(inner & ~path.contains(f"/{P.FRAME}"), F.concat(F.lit("no free content under /.meta: "), path))
         .when(~kind.isin("file", "chunk", "edge", "directory", "version", "api"), F.concat(F.lit("unknown kind: "), kind))
     )
 
 
 def write(entries: DataFrame, rows: DataFrame, overwrite: bool = True, now: Column | None = None, versions: bool = True) -> Change:
-    """Upsert of (path, content[, kind, …]): checked, with ancestors made or revived and versions of changed files."""
+    """Upsert of (path, content[, kind, …]): checked, with ancestors made or revived and versions of changed files.
+
+    A file whose content no longer has its stored hash was changed from outside, and one
+    whose last version doesn't have that hash has a broken history: the content that was
+    found is kept first, as a snapshot ``external`` or ``repair``, and the write follows it.
+    """
     now = now if now is not None else F.current_timestamp()
     staged = rows.withColumn("path", P.normalize_col(F.col("path")))
     staged = staged.withColumn("kind", F.coalesce("kind", P.kind_col(F.col("path"))) if "kind" in rows.columns else P.kind_col(F.col("path")))
@@ -67,26 +73,34 @@ def write(entries: DataFrame, rows: DataFrame, overwrite: bool = True, now: Colu
         met = met.withColumn("_why", F.coalesce("_why", F.when(F.col("_live") & (F.col("_kind") == "file"), F.lit("already exists"))))
     # a chunk needs its file, live or in the batch
     owners = live(entries).where("kind = 'file'").select("path").unionByName(staged.where("_why is null and kind = 'file'").select("path")).distinct().select(F.col("path").alias("_owner"), F.lit(True).alias("_owned"))
-    owner = F.when(F.col("kind") == "chunk", F.regexp_extract("path", r"^/\.vfs(/.+?)/__meta__/", 1))
+    owner = F.when(F.col("kind") == "chunk", F.regexp_extract("path", r"^/\.meta(/.+?)/__meta__/", 1))
     met = met.withColumn("_owner", owner).join(owners, "_owner", "left").withColumn("_why", F.coalesce("_why", F.when((F.col("kind") == "chunk") & F.col("_owned").isNull(), F.lit("the chunk's file is missing"))))
+    last = live(entries).where("kind = 'version'").select(F.regexp_extract("path", _OF_VERSION, 1).alias("_file"), F.col("version_number").alias("_at"), F.coalesce("content_hash", F.when(F.col("is_snapshot"), F.sha2("content", 256))).alias("_kept"))
+    met = met.join(last, (F.col("path") == F.col("_file")) & (F.col("_version") == F.col("_at")), "left")
     good = met.where("_why is null")
-    number = F.coalesce("_version", F.lit(0)) + F.when(F.col("_live") & (F.col("_hash") == F.sha2("content", 256)), 0).otherwise(1)
-    fresh = good.where("_live is null or not _live or kind <> 'file' or _hash is null or _hash <> sha2(content, 256)")
+    was_file = (F.col("kind") == "file") & F.coalesce("_live", F.lit(False)) & (F.coalesce("_version", F.lit(0)) > 0)
+    found = F.sha2(F.coalesce("_old", F.lit("")), 256)
+    mended = F.when(was_file & (F.col("_hash") != found), F.lit("external")).when(was_file & (F.coalesce("_kept", F.lit("")) != found), F.lit("repair"))
+    good = good.withColumn("_mended", mended).withColumn("_base", F.coalesce("_version", F.lit(0)) + F.when(F.col("_mended").isNotNull(), 1).otherwise(0))
+    same = was_file & (found == F.sha2("content", 256))
+    number = F.col("_base") + F.when(same, 0).otherwise(1)
+    fresh = good.where(~same)
     extra = [c for c in rows.columns if c in NAMES and c not in ("path", "kind", "content", "version_number", "updated_at", "created_at")]
     new = derive(good.select("path", "kind", "content", *extra, F.when(F.col("kind") == "file", number).alias("version_number"), now.alias("updated_at")))
     dirs = good.select(F.explode(P.ancestors_col(F.col("path"))).alias("path")).distinct().join(live(entries).where("kind = 'directory'").select("path"), "path", "left_anti").join(new.select("path"), "path", "left_anti")
     made = derive(dirs.select("path", F.lit("directory").alias("kind"), now.alias("updated_at")))
     added = new.unionByName(made)
     if versions:
-        files = fresh.where("kind = 'file'").select("path", "content", F.when(F.col("_live"), F.col("_old")).alias("_prev"), number.alias("n"))
-        added = added.unionByName(version_rows(files, now))
+        files = fresh.where("kind = 'file'").select("path", "content", F.when(F.col("_live"), F.col("_old")).alias("_prev"), number.alias("n"), F.lit("auto").alias("by"))
+        kept_first = good.where("_mended is not null").select("path", F.coalesce("_old", F.lit("")).alias("content"), F.lit(None).cast("string").alias("_prev"), F.col("_base").alias("n"), F.col("_mended").alias("by"))
+        added = added.unionByName(version_rows(files.unionByName(kept_first), now))
     kept = entries.join(added.select("path"), "path", "left_anti")
     errors = met.where("_why is not null").select("path", F.col("_why").alias("error")).distinct()
     return Change(kept.select(*NAMES).unionByName(added.select(*NAMES)), _touched(new, "write"), errors)
 
 
 def version_rows(files: DataFrame, now: Column) -> DataFrame:
-    """Version entries of (path, content, _prev, n): a snapshot for the first, every tenth, and without a predecessor; else a diff."""
+    """Version entries of (path, content, _prev, n[, by]): a snapshot for the first, every tenth, and without a predecessor; else a diff. Each has the hash of its text."""
     ship()
     whole = X.is_snapshot_col(F.col("n")) | F.col("_prev").isNull()
 
@@ -97,9 +111,9 @@ def version_rows(files: DataFrame, now: Column) -> DataFrame:
     stored = files.withColumn("whole", whole)
     rows = stored.select(
         F.concat(F.lit(P.META), "path", F.lit(f"/{P.FRAME}/versions/"), F.col("n").cast("string")).alias("path"), F.lit("version").alias("kind"), F.when(F.col("whole"), F.col("content")).alias("content"),
-        changes(F.when(~F.col("whole"), F.col("_prev")), F.when(~F.col("whole"), F.col("content"))).alias("version_diff"), F.col("n").cast("int").alias("version_number"), F.col("whole").alias("is_snapshot"), F.lit("auto").alias("created_by"), now.alias("updated_at"),
+        changes(F.when(~F.col("whole"), F.col("_prev")), F.when(~F.col("whole"), F.col("content"))).alias("version_diff"), F.col("n").cast("int").alias("version_number"), F.col("whole").alias("is_snapshot"), (F.col("by") if "by" in files.columns else F.lit("auto")).alias("created_by"), now.alias("updated_at"), F.sha2("content", 256).alias("_hash"),
     )
-    return derive(rows).withColumn("content_hash", F.lit(None).cast("string")).select(*NAMES)
+    return derive(rows, "_hash").withColumn("content_hash", F.col("_hash")).select(*NAMES)
 
 
 def reconstruct(entries: DataFrame) -> DataFrame:
@@ -107,7 +121,7 @@ def reconstruct(entries: DataFrame) -> DataFrame:
 
     Chains are cut at snapshots, so a group has at most ten rows however long the history.
     """
-    own = entries.where("kind = 'version'").select(F.regexp_extract("path", r"^/\.vfs(/.+)/__meta__/versions/", 1).alias("path"), "version_number", "is_snapshot", F.coalesce("content", "version_diff").alias("stored"))
+    own = entries.where("kind = 'version'").select(F.regexp_extract("path", _OF_VERSION, 1).alias("path"), "version_number", "is_snapshot", F.coalesce("content", "version_diff").alias("stored"))
     ship()
     w = Window.partitionBy("path").orderBy("version_number")
     chains = own.withColumn("base", F.max(F.when(F.col("is_snapshot"), F.col("version_number"))).over(w))
@@ -124,8 +138,8 @@ def reconstruct(entries: DataFrame) -> DataFrame:
 
 
 def below(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows at or below (path) roots, in their own tree or beside it under /.vfs: equal joins on ancestors, no nested loop."""
-    plain = F.when(F.col("path").startswith(P.META + "/"), F.regexp_replace(F.substring("path", len(P.META) + 1, 4096), f"/{P.FRAME}(/.*)?$", "")).otherwise(F.col("path"))
+    """Rows at or below (path) roots, in their own tree or beside it under /.meta: equal joins on ancestors, no nested loop."""
+    plain = F.when(F.col("path").startswith(P.META + "/"), F.regexp_replace(F.substr("path", F.lit(len(P.META) + 1)), f"/{P.FRAME}(/.*)?$", "")).otherwise(F.col("path"))
     ups = F.concat(P.ancestors_col(plain), F.array(plain))
     hit = rows.select("path", F.explode(ups).alias("root")).join(roots.select(F.col("path").alias("root")), "root", "left_semi").select("path").distinct()
     return rows.join(hit, "path", "left_semi")
@@ -162,7 +176,7 @@ def mkedge(entries: DataFrame, links: DataFrame, now: Column | None = None) -> C
     lost = links.join(known, ["source", "target", "type"], "left_anti").select(F.col("source").alias("path"), F.concat(F.lit("Not found: "), "source").alias("error"))
     rows = known.select(P.edge_out_col(F.col("source"), F.col("target"), F.col("type")).alias("path"), F.lit("edge").alias("kind"), F.lit(None).cast("string").alias("content"), F.col("source").alias("source_path"), F.col("target").alias("target_path"), F.col("type").alias("edge_type")).distinct()
     done = write(entries, rows, now=now, versions=False)
-    return Change(done.entries, Relation.of(done.touched.df, "mkedge"), done.errors.unionByName(lost))
+    return Change(done.entries, Relation.by_path(done.touched.df, "mkedge"), done.errors.unionByName(lost))
 
 
 def copy(entries: DataFrame, pairs: DataFrame, overwrite: bool = True, now: Column | None = None) -> Change:
@@ -170,11 +184,11 @@ def copy(entries: DataFrame, pairs: DataFrame, overwrite: bool = True, now: Colu
     found = pairs.join(live(entries).select(F.col("path").alias("src"), "content"), "src")
     lost = pairs.join(live(entries).select(F.col("path").alias("src")), "src", "left_anti").select(F.col("src").alias("path"), F.concat(F.lit("Not found: "), "src").alias("error"))
     done = write(entries, found.select(F.col("dest").alias("path"), "content"), overwrite, now)
-    return Change(done.entries, Relation.of(done.touched.df, "copy"), done.errors.unionByName(lost))
+    return Change(done.entries, Relation.by_path(done.touched.df, "copy"), done.errors.unionByName(lost))
 
 
 def moved_col(path: Column, src: str, dest: str) -> Column:
-    return F.when(path == src, F.lit(dest)).when(path.startswith(src + "/"), F.concat(F.lit(dest), F.substring(path, len(src) + 1, 4096))).otherwise(path)
+    return F.when(path == src, F.lit(dest)).when(path.startswith(src + "/"), F.concat(F.lit(dest), F.substr(path, F.lit(len(src) + 1)))).otherwise(path)
 
 
 def move(entries: DataFrame, src: str, dest: str, now: Column | None = None) -> Change:
@@ -195,7 +209,7 @@ def move(entries: DataFrame, src: str, dest: str, now: Column | None = None) ->
     edge = F.col("kind") == "edge"
     source, target = moved_col(F.col("source_path"), src, dest), moved_col(F.col("target_path"), src, dest)
     meta = own.startswith(P.META + "/")
-    to = F.when(edge, P.edge_out_col(source, target, F.col("edge_type"))).when(meta, F.concat(F.lit(P.META), moved_col(F.substring(own, len(P.META) + 1, 4096), src, dest))).otherwise(moved_col(own, src, dest))
+    to = F.when(edge, P.edge_out_col(source, target, F.col("edge_type"))).when(meta, F.concat(F.lit(P.META), moved_col(F.substr(own, F.lit(len(P.META) + 1)), src, dest))).otherwise(moved_col(own, src, dest))
     rows = alive.withColumn("_to", to)
     shifted = rows.where("_to <> path").withColumn("original_path", own).withColumn("source_path", F.when(edge, source)).withColumn("target_path", F.when(edge, target)).withColumn("path", F.col("_to")).withColumn("name", P.name_col(F.col("path"))).withColumn("parent_path", P.parent_col(F.col("path"))).withColumn("ext", F.when(F.col("kind") == "file", P.extension_col(F.col("path")))).withColumn("updated_at", now).select(*NAMES)
     rest = entries.join(rows.where("_to <> path").select("path"), "path", "left_anti").join(shifted.select("path"), "path", "left_anti")
@@ -204,6 +218,52 @@ def move(entries: DataFrame, src: str, dest: str, now: Column | None = None) ->
     return Change(rest.select(*NAMES).unionByName(shifted).unionByName(made), _touched(shifted, "move"), _errors(entries))
 
 
+def moves(entries: DataFrame, pairs: DataFrame, now: Column | None = None) -> Change:
+    """Many moves (src, dest) at once, as if made in the order of their sources: what lies below a moved row goes along with it.
+
+    A row finds its move by equal joins on its ancestors. Refused are sources that aren't
+    there or go along with another, destinations that are taken or wanted twice, and moves
+    into themselves.
+    """
+    now = now if now is not None else F.current_timestamp()
+    alive = live(entries)
+    asked = pairs.select(P.normalize_col(F.col("src")).alias("src"), P.normalize_col(F.col("dest")).alias("dest")).groupBy("src").agg(F.min("dest").alias("dest"))
+    there = alive.select(F.col("path").alias("src"), F.lit(True).alias("_there"))
+    taken = alive.select(F.col("path").alias("dest"), F.lit(True).alias("_taken"))
+    along = asked.select("src", F.explode(P.ancestors_col(F.col("src"))).alias("up")).join(asked.select(F.col("src").alias("up")), "up", "left_semi").select("src", F.lit(True).alias("_along")).distinct()
+    first = Window.partitionBy("dest")
+    why = (
+        F.when(F.col("_there").isNull() | F.col("_along").isNotNull(), F.concat(F.lit("Not found: "), "src"))
+        .when((F.col("dest") == F.col("src")) | F.col("dest").startswith(F.concat("src", F.lit("/"))), F.concat(F.lit("can't move "), "src", F.lit(" into itself")))
+        .when(F.col("_taken").isNotNull() | (F.col("src") != F.min("src").over(first)), F.concat(F.lit("Already exists: "), "dest"))
+    )
+    rated = asked.join(there, "src", "left").join(along, "src", "left").join(taken, "dest", "left").withColumn("_why", why)
+    good = rated.where("_why is null").select("src", "dest")
+
+    def moved(rows: DataFrame, column: str, to: str) -> DataFrame:
+        """With the new path of a column of plain paths, where a move has it."""
+        plain = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("_p")).distinct()
+        hit = plain.select("_p", F.explode(F.concat(P.ancestors_col(F.col("_p")), F.array("_p"))).alias("src")).join(good, "src")
+        new = hit.select("_p", F.concat("dest", F.substr("_p", F.length("src") + 1)).alias(to))
+        return rows.join(new, F.col(column) == F.col("_p"), "left").drop("_p")
+
+    own, edge = F.col("path"), F.col("kind") == "edge"
+    meta = own.startswith(P.META + "/")
+    rows = alive.withColumn("_own", F.when(~edge, F.when(meta, F.regexp_replace(F.substr("path", F.lit(len(P.META) + 1)), f"/{P.FRAME}(/.*)?$", "")).otherwise(own)))
+    rows = moved(moved(moved(rows, "_own", "_to_own"), "source_path", "_to_source"), "target_path", "_to_target")
+    source, target = F.coalesce("_to_source", "source_path"), F.coalesce("_to_target", "target_path")
+    tail = F.substr("path", F.length("_own") + len(P.META) + 1)
+    to = F.when(edge & (F.col("_to_source").isNotNull() | F.col("_to_target").isNotNull()), P.edge_out_col(source, target, F.col("edge_type"))).when(~edge & meta, F.concat(F.lit(P.META), "_to_own", tail)).when(~edge, F.col("_to_own"))
+    changed = rows.withColumn("_to", to).where("_to is not null")
+    shifted = changed.withColumns({"original_path": own, "source_path": F.when(edge, source), "target_path": F.when(edge, target), "path": F.col("_to"), "updated_at": now})
+    shifted = shifted.withColumns({"name": P.name_col(F.col("path")), "parent_path": P.parent_col(F.col("path")), "ext": F.when(F.col("kind") == "file", P.extension_col(F.col("path")))}).select(*NAMES)
+    rest = entries.join(changed.select("path"), "path", "left_anti").join(shifted.select("path"), "path", "left_anti")
+    dirs = good.select(F.explode(P.ancestors_col(F.col("dest"))).alias("path")).distinct().withColumn("kind", F.lit("directory"))
+    made = derive(dirs.join(rest.where("deleted_at is null").select("path"), "path", "left_anti").join(shifted.select("path"), "path", "left_anti").withColumn("updated_at", now))
+    errors = rated.where("_why is not null").select(F.col("src").alias("path"), F.col("_why").alias("error"))
+    return Change(rest.join(made.select("path"), "path", "left_anti").select(*NAMES).unionByName(shifted).unionByName(made), _touched(shifted, "move"), errors)
+
+
 def edit(entries: DataFrame, wanted: Iterable[str] | DataFrame | Relation, edits: Iterable[tuple[str, str, bool]], now: Column | None = None) -> Change:
     """Edits in turn on every file; a file that one of them doesn't fit stays as it was and is reported."""
     rows = live(entries).where("kind = 'file'").join(seeds(entries, wanted), "path", "left_semi").select("path", "content")
@@ -228,18 +288,25 @@ def edit(entries: DataFrame, wanted: Iterable[str] | DataFrame | Relation, edits
     done = write(entries, tried.where("x.error is null").select("path", F.col("x.content").alias("content")), now=now)
     lost = seeds(entries, wanted).join(rows.select("path"), "path", "left_anti").select("path", F.concat(F.lit("Not found: "), "path").alias("error"))
     errors = done.errors.unionByName(tried.where("x.error is not null").select("path", F.col("x.error").alias("error"))).unionByName(lost)
-    return Change(done.entries, Relation.of(done.touched.df, "edit"), errors)
+    return Change(done.entries, Relation.by_path(done.touched.df, "edit"), errors)
 
 
 def resolve_rules(rows: DataFrame, rules: DataFrame, default: str = "read_write") -> DataFrame:
     """(path, permission): the rule (prefix, permission) with the longest prefix; found by equal joins on ancestors."""
-    plain = F.when(F.col("path").startswith(P.META + "/"), F.regexp_replace(F.substring("path", len(P.META) + 1, 4096), f"/{P.FRAME}(/.*)?$", "")).otherwise(F.col("path"))
+    plain = F.when(F.col("path").startswith(P.META + "/"), F.regexp_replace(F.substr("path", F.lit(len(P.META) + 1)), f"/{P.FRAME}(/.*)?$", "")).otherwise(F.col("path"))
     ups = F.concat(F.array(F.lit("/")), P.ancestors_col(plain), F.array(plain))
     hit = rows.select("path", F.explode(ups).alias("prefix")).join(rules, "prefix").groupBy("path").agg(F.max_by("permission", F.length("prefix")).alias("permission"))
     return rows.select("path").join(hit, "path", "left").select("path", F.coalesce("permission", F.lit(default)).alias("permission"))
 
 
-def transfer(source: DataFrame, target: DataFrame, pairs: DataFrame, remove: bool = False, now: Column | None = None) -> tuple[Change, Change | None]:
-    """Copies (src, dest) from one mount's entries to another's, then deletes the sources for a move."""
-    rows = live(source).join(pairs.select(F.col("src").alias("path"), "dest"), "path").select(F.col("dest").alias("path"), "content")
-    return write(target, rows, now=now), (delete(source, pairs.select(F.col("src").alias("path")), now=now) if remove else None)
+def transfer(source: DataFrame, target: DataFrame, pairs: DataFrame, remove: bool = False, overwrite: bool = True, now: Column | None = None) -> tuple[Change, Change | None]:
+    """Copies (src, dest) from one mount's entries to another's; for a move the sources that were written are deleted then."""
+    found = live(source).join(pairs.select(F.col("src").alias("path"), "dest"), "path").select("path", "dest", "content")
+    lost = pairs.join(live(source).select(F.col("path").alias("src")), "src", "left_anti").select(F.col("src").alias("path"), F.concat(F.lit("Not found: "), "src").alias("error"))
+    done = write(target, found.select(F.col("dest").alias("path"), "content"), overwrite, now)
+    into = Change(done.entries, done.touched, done.errors.unionByName(lost))
+    if not remove:
+        return into, None
+    kept = done.errors.select(P.normalize_col(F.col("path")).alias("dest"))
+    written = found.select("path", P.normalize_col(F.col("dest")).alias("dest")).join(kept, "dest", "left_anti").select("path")
+    return into, delete(source, written, now=now)

@@ -17,14 +17,14 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def score(vector: Column, query: Sequence[float], metric: str) -> Column:
-    """cosine: their cosine; inner: their product; l2: 1 / (1 + distance)."""
+    """cosine: their cosine, 0 where one has no length; inner: their product; l2: 1 / (1 + distance)."""
     q = F.array(*[F.lit(float(x)) for x in query])
     if metric == "inner":
         return dot(vector, q)
     if metric == "l2":
         return 1 / (1 + F.sqrt(F.aggregate(F.zip_with(vector, q, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)))
     if metric == "cosine":
-        return dot(vector, q) / (F.sqrt(dot(vector, vector)) * F.lit(sum(float(x) ** 2 for x in query) ** 0.5))
+        return F.coalesce(F.try_divide(dot(vector, q), F.sqrt(dot(vector, vector)) * F.lit(sum(float(x) ** 2 for x in query) ** 0.5)), F.lit(0.0))
     raise ValueError(f"unknown metric {metric!r}")
 
 
@@ -38,7 +38,7 @@ def vector_search(items: DataFrame, query: Sequence[float], k: int = 15, metric:
         rows = rows.where(F.col("owner_id") == owner)
     if candidates is not None:
         rows = rows.join(candidates.df.select("path"), "path", "left_semi")
-    return Relation.of(rows.select("path", score(F.col("embedding"), query, metric).alias("score")), "vector_search").top(k)
+    return Relation.by_path(rows.select("path", score(F.col("embedding"), query, metric).alias("score")), "vector_search").top(k)
 
 
 def embed_column(col: Column, embed_batch: Callable[[list[str]], list[Sequence[float]]]) -> Column:

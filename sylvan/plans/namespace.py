@@ -25,6 +25,7 @@ from sylvan.plans import language as Q
 from sylvan.schema import ENTRY
 from sylvan.sources.staging import cut
 
+ERRORS_SHOWN = 1000
 WRITES = {"write", "mkdir", "mkedge", "edit", "delete", "move", "copy"}
 
 
@@ -61,7 +62,7 @@ class Namespace:
 
     def mount(self, name: str, other: Namespace) -> None:
         """Attaches a namespace under one segment."""
-        if not re.fullmatch(r"/?[^/]+", name) or name.strip("/") in (".", "..", ".vfs"):
+        if not re.fullmatch(r"/?[^/]+", name) or name.strip("/") in (".", "..", ".meta"):
             raise ValueError(f"a mount is one segment, not {name!r}")
         self.mounts["/" + name.strip("/")] = other
 
@@ -86,7 +87,7 @@ class Namespace:
             if touching is not None and not any(t == "/" or t == prefix or t.startswith(prefix + "/") or prefix.startswith(t.rstrip("/") + "/") or t.startswith(P.META) for t in touching):
                 continue
             sub = other.all_entries()
-            lead = lambda c, p=prefix: F.when(F.col(c) == "/", p).when(F.col(c).startswith(P.META + "/"), F.concat(F.lit(P.META + p), F.substring(c, len(P.META) + 1, 4096))).when(F.col(c).isNotNull(), F.concat(F.lit(p), F.col(c)))
+            lead = lambda c, p=prefix: F.when(F.col(c) == "/", p).when(F.col(c).startswith(P.META + "/"), F.concat(F.lit(P.META + p), F.substr(c, F.lit(len(P.META) + 1)))).when(F.col(c).isNotNull(), F.concat(F.lit(p), F.col(c)))
             source, target = lead("source_path"), lead("target_path")
             path = F.when(F.col("kind") == "edge", P.edge_out_col(source, target, F.col("edge_type"))).otherwise(lead("path"))
             rows = rows.unionByName(sub.withColumns({"path": path, "source_path": source, "target_path": target}).withColumn("parent_path", P.parent_col(F.col("path"))).select(*ENTRY.fieldNames()))
@@ -100,7 +101,7 @@ class Namespace:
         if not user or not P.valid_user(user):
             raise ValueError("a valid user is required")
         lead = f"/{user}"
-        cut_lead = lambda c: F.when(F.col(c) == lead, "/").when(F.col(c).startswith(lead + "/"), F.substring(c, len(lead) + 1, 4096)).when(F.col(c).startswith(f"{P.META}{lead}/"), F.concat(F.lit(P.META), F.substring(c, len(P.META + lead) + 1, 4096)))
+        cut_lead = lambda c: F.when(F.col(c) == lead, "/").when(F.col(c).startswith(lead + "/"), F.substr(c, F.lit(len(lead) + 1))).when(F.col(c).startswith(f"{P.META}{lead}/"), F.concat(F.lit(P.META), F.substr(c, F.lit(len(P.META + lead) + 1))))
         rows = rows.where(F.col("path").startswith(lead + "/") | F.col("path").startswith(f"{P.META}{lead}/"))
         source, target = cut_lead("source_path"), cut_lead("target_path")
         rows = rows.where((F.col("kind") != "edge") | (source.isNotNull() & target.isNotNull()))
@@ -109,11 +110,18 @@ class Namespace:
 
     # writes
 
-    def _apply(self, change: W.Change, keep: bool = True) -> Relation:
-        errors = tuple(f"{r['path']}: {r['error']}" for r in change.errors.limit(1000).collect())
-        if keep:
-            self.entries = cut(change.entries, "entries")
-        return replace(change.touched, errors=errors)
+    def _apply(self, change: W.Change) -> Relation:
+        """Takes over the rows after a change. Of what it refused the first are listed, and the rest is counted."""
+        refused = cut(change.errors, "refused")
+        errors = [f"{r['path']}: {r['error']}" for r in refused.orderBy("path", "error").limit(ERRORS_SHOWN).collect()]
+        if len(errors) == ERRORS_SHOWN and (more := refused.count() - ERRORS_SHOWN):
+            errors.append(f"and {more} more")
+        touched = replace(change.touched, df=cut(change.touched.df, "touched"))
+        self.entries = cut(change.entries, "entries")
+        return replace(touched, errors=tuple(errors))
+
+    def _nothing(self, function: str, errors: Iterable[str] = ()) -> Relation:
+        return Relation.by_path(self.entries.where("false").select("path", "kind"), function, errors)
 
     def _denied(self, paths: Iterable[str], function: str) -> Relation | None:
         bad = []
@@ -122,71 +130,117 @@ class Namespace:
             why = self.permissions.check(p) or (inner.permissions.check(rest) if inner is not self else None) or P.mutable(rest)
             if why:
                 bad.append(why)
-        empty = Relation.of(self.entries.where("false").select("path", "kind"), function)
-        return replace(empty, errors=tuple(bad)) if bad else None
+        return self._nothing(function, bad) if bad else None
 
     def _own(self, path: str, user: str | None) -> str:
-        return P.scoped(P.normalize(path), user) if self.user_scoped and user else P.normalize(path)
+        """The stored form of a user's path. In a namespace of users nothing is changed without one."""
+        if not self.user_scoped:
+            return P.normalize(path)
+        if not user or not P.valid_user(user):
+            raise ValueError("a valid user is required")
+        return P.scoped(P.normalize(path), user)
+
+    def _shown(self, out: Relation | None, user: str | None, function: str) -> Relation:
+        """A change as its user sees it."""
+        if out is None:
+            return self._nothing(function)
+        if not self.user_scoped:
+            return out
+        cut_lead = lambda e: e.replace(f"{P.META}/{user}/", P.META + "/").replace(f"/{user}/", "/")
+        return replace(out.strip_scope(user), errors=tuple(map(cut_lead, out.errors)))
+
+    def _routed(self, paths: Iterable[str]) -> list[tuple[Namespace, str, list[str]]]:
+        """(namespace, its prefix, the paths inside it) for each mount that the paths lie in."""
+        by: dict[int, tuple[Namespace, str, list[str]]] = {}
+        for p in paths:
+            inner, prefix, rest = self.resolve(p)
+            by.setdefault(id(inner), (inner, prefix, []))[2].append(rest)
+        return list(by.values())
+
+    def _each(self, paths: list[str], user: str | None, function: str, change: Callable[[DataFrame, list[str]], W.Change]) -> Relation:
+        """One change to each mount that the paths lie in, where none of them is denied."""
+        paths = [self._own(p, user) for p in paths]
+        if (no := self._denied(paths, function)) is not None:
+            return self._shown(no, user, function)
+        out = None
+        for inner, prefix, own in self._routed(paths):
+            done = inner._apply(change(inner.entries, own))
+            done = done.add_prefix(prefix) if prefix else done
+            out = done if out is None else out | done
+        return self._shown(out, user, function)
 
     def write(self, rows: Iterable[tuple[str, str]], overwrite: bool = True, user: str | None = None) -> Relation:
         rows = [(self._own(p, user), c) for p, c in rows]
         if (no := self._denied((p for p, _ in rows), "write")) is not None:
-            return no
+            return self._shown(no, user, "write")
+        owner = user if self.user_scoped else None
         by: dict[int, tuple[Namespace, str, list]] = {}
         for p, c in rows:
             inner, prefix, rest = self.resolve(p)
-            by.setdefault(id(inner), (inner, prefix, []))[2].append((rest, c))
+            by.setdefault(id(inner), (inner, prefix, []))[2].append((rest, c, owner))
         out = None
         for inner, prefix, own in by.values():
-            done = inner._apply(W.write(inner.entries, self.spark.createDataFrame(own, "path string, content string"), overwrite))
+            done = inner._apply(W.write(inner.entries, self.spark.createDataFrame(own, "path string, content string, owner_id string"), overwrite))
             done = done.add_prefix(prefix) if prefix else done
             out = done if out is None else out | done
-        return out.strip_scope(user) if self.user_scoped and user else out
+        return self._shown(out, user, "write")
 
     def delete(self, paths: Iterable[str], permanent: bool = False, cascade: bool = True, user: str | None = None) -> Relation:
-        paths = [self._own(p, user) for p in paths]
-        if (no := self._denied(paths, "delete")) is not None:
-            return no
+        return self._each(list(paths), user, "delete", lambda e, own: W.delete(e, own, permanent, cascade))
+
+    def mkdir(self, paths: Iterable[str], user: str | None = None) -> Relation:
+        return self._each(list(paths), user, "mkdir", W.mkdir)
+
+    def edit(self, paths: Iterable[str], edits: Iterable[tuple[str, str, bool]], user: str | None = None) -> Relation:
+        edits = list(edits)
+        return self._each(list(paths), user, "edit", lambda e, own: W.edit(e, own, edits))
+
+    def mkedge(self, source: str, target: str, type: str, user: str | None = None) -> Relation:
+        return self.mkedges([(source, target, type)], user)
+
+    def mkedges(self, links: Iterable[tuple[str, str, str]], user: str | None = None) -> Relation:
+        """Edges (source, target, type), one change for each mount; both ends of an edge lie in one."""
+        links = [(self._own(a, user), self._own(b, user), t) for a, b, t in links]
+        ends = [(self.resolve(a), self.resolve(b), t) for a, b, t in links]
+        if any(a[0] is not b[0] for a, b, _ in ends):
+            return self._nothing("mkedge", ["both ends of an edge lie in one mount"])
+        if (no := self._denied((P.edge_out(a, b, t) for a, b, t in links), "mkedge")) is not None:
+            return self._shown(no, user, "mkedge")
+        by: dict[int, tuple[Namespace, str, list]] = {}
+        for a, b, t in ends:
+            by.setdefault(id(a[0]), (a[0], a[1], []))[2].append((a[2], b[2], t))
         out = None
-        for p in paths:
-            inner, prefix, rest = self.resolve(p)
-            done = inner._apply(W.delete(inner.entries, [rest], permanent, cascade))
-            out = done.add_prefix(prefix) if out is None and prefix else done if out is None else out | done
-        return out
+        for inner, prefix, own in by.values():
+            done = inner._apply(W.mkedge(inner.entries, self.spark.createDataFrame(own, "source string, target string, type string")))
+            done = done.add_prefix(prefix) if prefix else done
+            out = done if out is None else out | done
+        return self._shown(out, user, "mkedge")
+
+    def transfer(self, src: str, dest: str, remove: bool, overwrite: bool = True, user: str | None = None) -> Relation:
+        return self.transfers([(src, dest)], remove, overwrite, user)
 
-    def mkdir(self, paths: Iterable[str]) -> Relation:
-        paths = list(paths)
-        return self._denied(paths, "write") or self._apply(W.mkdir(self.entries, paths))
-
-    def mkedge(self, source: str, target: str, type: str) -> Relation:
-        a, b = self.resolve(source), self.resolve(target)
-        if a[0] is not b[0]:
-            return replace(Relation.of(self.entries.where("false").select("path"), "mkedge"), errors=("both ends of an edge lie in one mount",))
-        if (no := self._denied([P.edge_out(P.normalize(source), P.normalize(target), type)], "mkedge")) is not None:
-            return no
-        links = self.spark.createDataFrame([(a[2], b[2], type)], "source string, target string, type string")
-        done = a[0]._apply(W.mkedge(a[0].entries, links))
-        return done.add_prefix(a[1]) if a[1] else done
-
-    def transfer(self, src: str, dest: str, remove: bool, overwrite: bool = True) -> Relation:
+    def transfers(self, pairs: Iterable[tuple[str, str]], remove: bool, overwrite: bool = True, user: str | None = None) -> Relation:
+        """Copies or moves (source, destination): one change for each pair of mounts, nothing where one of them is denied."""
         name = "move" if remove else "copy"
-        if (no := self._denied([src, dest] if remove else [dest], name)) is not None:
-            return no
-        a, b = self.resolve(src), self.resolve(dest)
-        if a[0] is b[0]:
-            change = W.move(a[0].entries, a[2], b[2]) if remove else W.copy(a[0].entries, self.spark.createDataFrame([(a[2], b[2])], "src string, dest string"), overwrite)
-            done = a[0]._apply(change)
-        else:
-            pair = self.spark.createDataFrame([(a[2], b[2])], "src string, dest string")
-            into, out = W.transfer(a[0].entries, b[0].entries, pair, remove)
-            done = replace(b[0]._apply(into), function=name)
-            if out is not None:
-                a[0]._apply(out)
-        return done.add_prefix(b[1]) if b[1] else done
-
-    def edit(self, paths: Iterable[str], edits: Iterable[tuple[str, str, bool]]) -> Relation:
-        paths = list(paths)
-        return self._denied(paths, "edit") or self._apply(W.edit(self.entries, paths, edits))
+        pairs = [(self._own(a, user), self._own(b, user)) for a, b in pairs]
+        if (no := self._denied([p for pair in pairs for p in (pair if remove else pair[1:])], name)) is not None:
+            return self._shown(no, user, name)
+        by: dict[tuple[int, int], tuple] = {}
+        for a, b in ((self.resolve(x), self.resolve(y)) for x, y in pairs):
+            by.setdefault((id(a[0]), id(b[0])), (a[0], b[0], b[1], []))[3].append((a[2], b[2]))
+        out = None
+        for source, target, prefix, own in by.values():
+            table = self.spark.createDataFrame(own, "src string, dest string")
+            if source is target:
+                done = source._apply((W.move(source.entries, *own[0]) if len(own) == 1 else W.moves(source.entries, table)) if remove else W.copy(source.entries, table, overwrite))
+            else:
+                into, gone = W.transfer(source.entries, target.entries, table, remove, overwrite)
+                gone = cut(gone.entries, "entries") if gone is not None else None
+                done = replace(target._apply(into), function=name)
+                source.entries = source.entries if gone is None else gone
+            done = done.add_prefix(prefix) if prefix else done
+            out = done if out is None else out | done
+        return self._shown(out, user, name)
 
     # queries
 
@@ -199,7 +253,7 @@ class Namespace:
             out = out.hydrate(run.entries, names)
         return out
 
-    def cli(self, text: str, user: str | None = None, limit: int = 1000) -> str:
+    def cli(self, text: str, user: str | None = None, limit: int | None = None) -> str:
         from sylvan.plans.render import render
 
         plan = Q.parse(text)
@@ -238,7 +292,14 @@ class _Run:
     def see(self, out: Relation, flags: dict, *kinds: str) -> Relation:
         if "--all" in flags:
             return out
-        return out.visible(*(flags.get("--include") or kinds))
+        return out.visible(*kinds, *flags.get("--include", ()))
+
+    def told(self, out: Relation, wanted: list[str], tree: bool = False) -> Relation:
+        """With an error for each path asked for that isn't there; of a tree's roots also for those that are no directories."""
+        known = {r["path"]: r["kind"] for r in S.stat(self.entries, wanted).df.select("path", "kind").toLocalIterator()}
+        errors = [f"Not found: {p}" for p in dict.fromkeys(map(P.normalize, wanted)) if p not in known and p not in (P.ROOT, P.META)]
+        errors += [f"Not a directory: {p}" for p, kind in known.items() if tree and kind != "directory"]
+        return replace(out, errors=out.errors + tuple(errors))
 
     def stage(self, s: Q.Stage, given: Relation | None) -> Relation:
         f, a, e, space = s.flags, list(s.args), self.entries, self.space
@@ -247,18 +308,21 @@ class _Run:
             raise ValueError("a valid user is required")
         match s.verb:
             case "read":
-                return S.read(e, want)
+                return self.told(S.read(e, want), a) if a else S.read(e, want)
             case "stat":
-                return S.stat(e, want)
+                return self.told(S.stat(e, want), a) if a else S.stat(e, want)
             case "ls":
                 return S.ls(e, want or ["/"], self.edges())
             case "tree":
-                roots = a or ([r[0] for r in given.df.select("path").collect()] if given is not None else ["/"])
                 every = "--all" in f or "--include" in f
-                out = None
-                for r in roots:
-                    one = S.tree(e, r, f.get("--depth"), every)
-                    out = one if out is None else out | one
+                if given is not None and not a:
+                    out = S.trees(e, given.df.where(F.coalesce("kind", P.kind_col(F.col("path"))) == "directory").select("path"), f.get("--depth"), every)
+                else:
+                    roots = [P.normalize(r) for r in a or ["/"]]
+                    out = S.tree(e, roots[0], f.get("--depth"), every)
+                    for r in roots[1:]:
+                        out = out | S.tree(e, r, f.get("--depth"), every)
+                    out = self.told(out, [r for r in roots if r != "/"], True) if a else out
                 return self.see(out, f, "file", "directory") if every else out
             case "glob":
                 files = tuple(f.get("--type", ()))
@@ -302,34 +366,25 @@ class _Run:
             case "write":
                 return space.write([(a[0], a[1])], "--no-overwrite" not in f, self.user)
             case "mkdir":
-                return space.mkdir(a)
+                return space.mkdir(a, self.user)
             case "delete":
-                return space.delete(a or [r[0] for r in given.df.select("path").collect()], user=self.user)
+                return space.delete(a or self.piped(given, s), user=self.user)
             case "edit":
                 old, new = a[-2:]
-                return space.edit(a[:-2] or [r[0] for r in given.df.select("path").collect()], [(old, new, "--all" in f)])
+                return space.edit(a[:-2] or self.piped(given, s), [(old, new, "--all" in f)], self.user)
             case "mkedge":
-                if len(a) == 3:
-                    source, x, y = a
-                    return space.mkedge(source, *((x, y) if "/" in x and "/" not in y else (y, x)))
-                x, y = a
+                x, y = a[-2:]
                 target, kind = (x, y) if "/" in x and "/" not in y else (y, x)
-                out = None
-                for r in self.need(given, s).df.select("path").collect():
-                    one = space.mkedge(r[0], target, kind)
-                    out = one if out is None else out | one
-                return out if out is not None else Relation.of(e.where("false").select("path"), "mkedge")
+                return space.mkedges([(p, target, kind) for p in (a[:1] if len(a) == 3 else self.piped(given, s))], self.user)
             case "move" | "copy":
-                remove = s.verb == "move"
-                if len(a) == 2:
-                    return space.transfer(a[0], a[1], remove, "--no-overwrite" not in f)
-                out = None
-                for r in self.need(given, s).df.select("path").collect():
-                    one = space.transfer(r[0], a[0].rstrip("/") + r[0], remove, "--no-overwrite" not in f)
-                    out = one if out is None else out | one
-                return out if out is not None else Relation.of(e.where("false").select("path"), s.verb)
+                pairs = [(a[0], a[1])] if len(a) == 2 else [(p, a[0].rstrip("/") + p) for p in self.piped(given, s)]
+                return space.transfers(pairs, s.verb == "move", "--no-overwrite" not in f, self.user)
         raise ValueError(s.verb)
 
+    def piped(self, given: Relation | None, s: Q.Stage) -> list[str]:
+        """The paths that a change is applied to, which is one batch however many they are."""
+        return [r[0] for r in self.need(given, s).df.select("path").distinct().orderBy("path").toLocalIterator()]
+
     def need(self, given: Relation | None, s: Q.Stage) -> Relation:
         if given is None:
             raise ValueError(f"{s.verb} needs something before it")

@@ -48,9 +48,12 @@ def grep(rows: list) -> str:
 VERBS = {"write": "Wrote", "delete": "Deleted", "move": "Moved", "copy": "Copied", "edit": "Edited", "mkedge": "Linked"}
 
 
-def render(out: Relation, output: tuple[str, ...] | None = None, limit: int = 1000) -> str:
+def render(out: Relation, output: tuple[str, ...] | None = None, limit: int | None = None) -> str:
+    """All rows as text; with ``limit`` the first ones, and how many more there are."""
     errors = "\n".join(f"ERROR: {e}" for e in out.errors)
-    rows = out.ordered().limit(limit).collect()
+    rows = list(out.ordered().toLocalIterator()) if limit is None else out.ordered().limit(limit).collect()
+    more = out.df.count() - limit if limit is not None and len(rows) == limit else 0
+    errors = "\n".join(x for x in (f"({more} more)" if more else "", errors) if x)
     if output:
         names = out.project(output)
         body = "\n".join(r["path"] for r in rows) if names == ("path",) else table(names, rows)

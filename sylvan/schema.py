@@ -20,10 +20,13 @@ ENTRY = _struct(
 )
 CANDIDATE = _struct("path string, kind string, lines lines, content string, size_bytes long, score double, in_degree long, out_degree long, updated_at timestamp")
 FIELDS = tuple(CANDIDATE.fieldNames())
-DEFAULTS = {
-    "read": ("path", "content"), "stat": ("path", "kind", "size_bytes", "updated_at"), "grep": ("path", "lines", "score"), "glob": ("path",), "ls": ("path", "kind"), "tree": ("path", "kind"), "lexical_search": ("path", "score"),
-    "vector_search": ("path", "score"), "semantic_search": ("path", "score"), "pagerank": ("path", "score", "in_degree", "out_degree"),
+_LISTS = {
+    "path": "glob ls tree hybrid write delete edit move copy mkdir mkedge", "content": "read", "path kind size_bytes updated_at": "stat", "path lines content": "grep", "path score": "vector_search semantic_search lexical_search bm25",
+    "path score in_degree out_degree": "pagerank hits betweenness_centrality closeness_centrality degree_centrality in_degree_centrality out_degree_centrality",
+    "path kind": "predecessors successors ancestors descendants neighborhood meeting_subgraph min_meeting_subgraph",
 }
+#: What a function shows where nothing else is asked for.
+DEFAULTS = {f: tuple(fields.split()) for fields, functions in _LISTS.items() for f in functions.split()}
 
 
 def missing(name: str) -> Column:

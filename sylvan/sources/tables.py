@@ -24,10 +24,10 @@ EDGES_SQL = """edges AS (
  UNION ALL SELECT '/parts/' || l_partkey, '/suppliers/' || l_suppkey, 'supplied_by' FROM lineitem))"""
 RING_SQL = """ring AS (
  SELECT DISTINCT src, dst FROM (
- SELECT '/parts/' || l_partkey AS src, '/suppliers/' || l_suppkey AS dst FROM lineitem WHERE l_partkey <= 200
+ SELECT '/parts/' || l_partkey AS src, '/suppliers/' || l_suppkey AS dst FROM lineitem
  UNION ALL SELECT '/suppliers/' || s_suppkey, '/nations/' || s_nationkey FROM supplier
  UNION ALL SELECT '/nations/' || n_nationkey, '/regions/' || n_regionkey FROM nation
- UNION ALL SELECT '/regions/' || r_regionkey, '/parts/' || p_partkey FROM region, part WHERE p_partkey <= 200 AND p_size % 5 = r_regionkey))"""
+ UNION ALL SELECT '/regions/' || r_regionkey, '/parts/' || p_partkey FROM region, part WHERE p_size % 5 = r_regionkey))"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +45,8 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionByName(pages).unionByName(talks)
 
 
-def derive(df: DataFrame) -> DataFrame:
-    """Full entry rows: what isn't given follows from path and content."""
+def derive(df: DataFrame, *also: str) -> DataFrame:
+    """Full entry rows: what isn't given follows from path and content. Columns in ``also`` stay beside them."""
     have = set(df.columns)
     get = lambda n: F.col(n) if n in have else F.lit(None).cast(ENTRY[n].dataType)
     path = F.col("path")
@@ -59,7 +59,7 @@ def derive(df: DataFrame) -> DataFrame:
         "source_path": F.coalesce(get("source_path"), edge["source"]), "target_path": F.coalesce(get("target_path"), edge["target"]), "edge_type": F.coalesce(get("edge_type"), edge["type"]),
         "created_at": F.coalesce(get("created_at"), F.lit("2020-01-01").cast("timestamp")), "updated_at": F.coalesce(get("updated_at"), F.lit("2020-01-01").cast("timestamp")),
     }
-    return df.select(*[made.get(f.name, get(f.name)).cast(f.dataType).alias(f.name) for f in ENTRY])
+    return df.select(*[made.get(f.name, get(f.name)).cast(f.dataType).alias(f.name) for f in ENTRY], *also)
 
 
 def with_directories(files: DataFrame) -> DataFrame:
@@ -106,8 +106,8 @@ def read_folder(spark: SparkSession, folder: str, mount: str = "") -> DataFrame:
 
 
 def write_entries(df: DataFrame, folder: str) -> None:
-    """Parquet partitioned by kind, sorted by path so that row-group statistics prune prefixes."""
-    df.repartition("kind").sortWithinPartitions("path").write.mode("overwrite").partitionBy("kind").parquet(folder)
+    """Parquet partitioned by kind and in ranges of paths, so that file and row-group statistics prune prefixes."""
+    df.repartitionByRange("kind", "path").sortWithinPartitions("kind", "path").write.mode("overwrite").partitionBy("kind").parquet(folder)
 
 
 def read_entries(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,3 +129,19 @@ def line_chunks(files: DataFrame, size: int = 65536, overlap: int = 0) -> DataFr
         return rows
     before = rows.select("path", (F.col("chunk_no") + 1).alias("chunk_no"), F.slice(F.split("content", "\n"), F.greatest(F.lit(1), F.size(F.split("content", "\n")) - overlap + 1), F.lit(overlap)).alias("tail"))
     return rows.join(before, ["path", "chunk_no"], "left").select("path", "chunk_no", (F.col("line_start") - F.coalesce(F.size("tail"), F.lit(0))).alias("line_start"), "line_end", F.concat_ws("\n", F.array_join("tail", "\n"), "content").alias("content"))
+
+
+def token_windows(files: DataFrame, size: int = 512, overlap: int = 64, token: str = r"\\w+|[^\\w\\s]") -> DataFrame:
+    """(path, chunk_no, token_start, token_end, tokens): windows of ``size`` tokens, of which ``overlap`` are shared with the next one.
+
+    The last window ends with the text; a text without tokens has none. A window is cut from
+    its own file's tokens, so nothing shuffles.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap must be less than the size")
+    step = size - overlap
+    own = files.where("content is not null").select("path", F.regexp_extract_all("content", F.lit(f"({token})"), F.lit(1)).alias("all")).where(F.size("all") > 0)
+    count = F.greatest(F.lit(1), F.ceil((F.size("all") - overlap) / step)).cast("int")
+    rows = own.select("path", "all", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk_no"))
+    begin = F.col("chunk_no") * step
+    return rows.select("path", "chunk_no", begin.cast("long").alias("token_start"), F.least(begin + size, F.size("all")).cast("long").alias("token_end"), F.slice("all", begin + 1, F.lit(size)).alias("tokens"))

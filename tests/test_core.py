@@ -21,7 +21,7 @@ def test_paths():
     assert P.extension("/a/b.TAR.GZ") == "gz" and P.extension("/a/.env") is None
     assert P.validate("/a\x00") and P.validate("/" + "x" * 256) and not P.validate("/ok")
     assert P.ancestors("/a/b/c.txt") == ["/a", "/a/b"]
-    assert P.mutable("/") and P.mutable("/.vfs/x") and not P.mutable(P.edge_out("/a", "/b", "t"))
+    assert P.mutable("/") and P.mutable("/.meta/x") and not P.mutable(P.edge_out("/a", "/b", "t"))
 
 
 def test_edges_and_scopes():
@@ -47,7 +47,7 @@ def test_lines():
     assert G.line_regex("Ab", "smart").startswith("(?Ud)") and "i" in G.line_regex("ab", "smart")[:5]
     assert "(?<x>a)" in G.line_regex("(?P<x>a)")
     assert G.literals("foo.*barr") == ["foo", "barr"] and G.literals("a|bcd") == [] and G.literals("def (x)?") == []
-    assert G.extensions_of(["python", "xyz"]) == ["py", "pyi", "pyx", "xyz"]
+    assert G.extensions_of(["python", "js", "xyz"]) == ["py", "pyi", "cjs", "js", "mjs", "xyz"]
 
 
 def test_edit_levels():

@@ -93,12 +93,12 @@ def test_graph_forms_agree(spark):
 
 def test_changes(spark, entries):
     now = F.lit("2021-01-01").cast("timestamp")
-    rows = spark.createDataFrame([("/src/a.py", "new\n"), ("/new/dir/f.txt", "x"), ("/.vfs/bad", "x"), ("/dup.txt", "1"), ("/dup.txt", "2")], "path string, content string")
+    rows = spark.createDataFrame([("/src/a.py", "new\n"), ("/new/dir/f.txt", "x"), ("/.meta/bad", "x"), ("/dup.txt", "1"), ("/dup.txt", "2")], "path string, content string")
     done = W.write(entries, rows, now=now)
     after = {r["path"]: r for r in done.entries.collect()}
     assert after["/src/a.py"]["content"] == "new\n" and after["/new/dir"]["kind"] == "directory" and "/dup.txt" not in after
-    assert {r["path"] for r in done.errors.collect()} == {"/.vfs/bad", "/dup.txt"}
-    assert "/.vfs/src/a.py/__meta__/versions/1" in after
+    assert {r["path"] for r in done.errors.collect()} == {"/.meta/bad", "/dup.txt"}
+    assert "/.meta/src/a.py/__meta__/versions/1" in after
     assert {r["path"] for r in W.write(entries, rows.limit(1), overwrite=False, now=now).errors.collect()} == {"/src/a.py"}
     gone = W.delete(entries, ["/src"], now=now)
     assert paths(S.live(gone.entries)) == ["/empty.txt", "/lib", "/lib/c.py", "/notes.md"]
