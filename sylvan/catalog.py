@@ -600,7 +600,7 @@ def set_duplicates(spark, d):
     return ((twice & twice) | twice).select("path", "content")
 
 
-@query(files("t AS (SELECT doc_id, doc_id % 3 AS how, '/f/' || doc_id || '.md' AS path FROM documents)") + "SELECT '/.meta' || path || '/__meta__/versions/' || n AS path, n::INTEGER AS version_number, by AS created_by, n <> (CASE WHEN how = 2 THEN 2 ELSE 3 END) AS is_snapshot FROM (SELECT *, unnest(CASE how WHEN 0 THEN [1, 2, 3] WHEN 1 THEN [2, 3] ELSE [1, 2] END) AS n, unnest(CASE how WHEN 0 THEN ['auto', 'external', 'auto'] WHEN 1 THEN ['repair', 'auto'] ELSE ['auto', 'auto'] END) AS by FROM t)")
+@query(files("t AS (SELECT doc_id, doc_id % 3 AS how, '/f/' || doc_id || '.md' AS path FROM documents)") + "SELECT '/.meta' || path || '/__meta__/versions/' || n AS path, n::INTEGER AS version_number, who AS created_by, n <> (CASE WHEN how = 2 THEN 2 ELSE 3 END) AS is_snapshot FROM (SELECT *, unnest(CASE how WHEN 0 THEN [1, 2, 3] WHEN 1 THEN [2, 3] ELSE [1, 2] END) AS n, unnest(CASE how WHEN 0 THEN ['auto', 'external', 'auto'] WHEN 1 THEN ['repair', 'auto'] ELSE ['auto', 'auto'] END) AS who FROM t)")
 def version_plan(spark, d):
     """Writes on files that were changed from outside (0), that lost their history (1), and on sound ones (2)."""
     docs = T.table(spark, d, "documents").select(F.concat(F.lit("/f/"), "doc_id", F.lit(".md")).alias("path"), F.coalesce("text", F.lit("")).alias("content"), (F.col("doc_id") % 3).alias("how"))

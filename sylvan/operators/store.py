@@ -67,7 +67,7 @@ def write(entries: DataFrame, rows: DataFrame, overwrite: bool = True, now: Colu
     staged = staged.withColumn("_n", F.count("*").over(Window.partitionBy("path")))
     why = F.when(F.col("_n") > 1, F.lit("path occurs more than once in the batch")).otherwise(refused_col(F.col("path"), F.col("kind")))
     staged = staged.withColumn("_why", why)
-    old = entries.select("path", F.col("content").alias("_old"), F.col("content_hash").alias("_hash"), F.col("kind").alias("_kind"), F.col("deleted_at").isNull().alias("_live"), F.col("version_number").alias("_version"))
+    old = entries.select("path", F.col("content").alias("_old"), F.col("content_hash").alias("_hash"), F.col("kind").alias("_kind"), F.col("deleted_at").isNull().alias("_live"), F.col("version_number").alias("_version"), F.col("owner_id").alias("_belongs"))
     met = staged.join(old, "path", "left")
     if not overwrite:
         met = met.withColumn("_why", F.coalesce("_why", F.when(F.col("_live") & (F.col("_kind") == "file"), F.lit("already exists"))))
@@ -85,8 +85,9 @@ def write(entries: DataFrame, rows: DataFrame, overwrite: bool = True, now: Colu
     same = was_file & (found == F.sha2("content", 256))
     number = F.col("_base") + F.when(same, 0).otherwise(1)
     fresh = good.where(~same)
-    extra = [c for c in rows.columns if c in NAMES and c not in ("path", "kind", "content", "version_number", "updated_at", "created_at")]
-    new = derive(good.select("path", "kind", "content", *extra, F.when(F.col("kind") == "file", number).alias("version_number"), now.alias("updated_at")))
+    extra = [c for c in rows.columns if c in NAMES and c not in ("path", "kind", "content", "version_number", "updated_at", "created_at", "owner_id")]
+    owner_id = F.coalesce("owner_id", "_belongs") if "owner_id" in rows.columns else F.col("_belongs")
+    new = derive(good.select("path", "kind", "content", *extra, owner_id.alias("owner_id"), F.when(F.col("kind") == "file", number).alias("version_number"), now.alias("updated_at")))
     dirs = good.select(F.explode(P.ancestors_col(F.col("path"))).alias("path")).distinct().join(live(entries).where("kind = 'directory'").select("path"), "path", "left_anti").join(new.select("path"), "path", "left_anti")
     made = derive(dirs.select("path", F.lit("directory").alias("kind"), now.alias("updated_at")))
     added = new.unionByName(made)
@@ -179,11 +180,11 @@ def mkedge(entries: DataFrame, links: DataFrame, now: Column | None = None) -> C
     return Change(done.entries, Relation.by_path(done.touched.df, "mkedge"), done.errors.unionByName(lost))
 
 
-def copy(entries: DataFrame, pairs: DataFrame, overwrite: bool = True, now: Column | None = None) -> Change:
-    """(src, dest): content alone is copied."""
+def copy(entries: DataFrame, pairs: DataFrame, overwrite: bool = True, now: Column | None = None, owner: str | None = None) -> Change:
+    """(src, dest): content alone is copied; the copy belongs to ``owner``."""
     found = pairs.join(live(entries).select(F.col("path").alias("src"), "content"), "src")
     lost = pairs.join(live(entries).select(F.col("path").alias("src")), "src", "left_anti").select(F.col("src").alias("path"), F.concat(F.lit("Not found: "), "src").alias("error"))
-    done = write(entries, found.select(F.col("dest").alias("path"), "content"), overwrite, now)
+    done = write(entries, found.select(F.col("dest").alias("path"), "content", F.lit(owner).cast("string").alias("owner_id")), overwrite, now)
     return Change(done.entries, Relation.by_path(done.touched.df, "copy"), done.errors.unionByName(lost))
 
 
@@ -299,11 +300,11 @@ def resolve_rules(rows: DataFrame, rules: DataFrame, default: str = "read_write"
     return rows.select("path").join(hit, "path", "left").select("path", F.coalesce("permission", F.lit(default)).alias("permission"))
 
 
-def transfer(source: DataFrame, target: DataFrame, pairs: DataFrame, remove: bool = False, overwrite: bool = True, now: Column | None = None) -> tuple[Change, Change | None]:
+def transfer(source: DataFrame, target: DataFrame, pairs: DataFrame, remove: bool = False, overwrite: bool = True, now: Column | None = None, owner: str | None = None) -> tuple[Change, Change | None]:
     """Copies (src, dest) from one mount's entries to another's; for a move the sources that were written are deleted then."""
     found = live(source).join(pairs.select(F.col("src").alias("path"), "dest"), "path").select("path", "dest", "content")
     lost = pairs.join(live(source).select(F.col("path").alias("src")), "src", "left_anti").select(F.col("src").alias("path"), F.concat(F.lit("Not found: "), "src").alias("error"))
-    done = write(target, found.select(F.col("dest").alias("path"), "content"), overwrite, now)
+    done = write(target, found.select(F.col("dest").alias("path"), "content", F.lit(owner).cast("string").alias("owner_id")), overwrite, now)
     into = Change(done.entries, done.touched, done.errors.unionByName(lost))
     if not remove:
         return into, None

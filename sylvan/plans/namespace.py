@@ -221,7 +221,7 @@ class Namespace:
 
     def transfers(self, pairs: Iterable[tuple[str, str]], remove: bool, overwrite: bool = True, user: str | None = None) -> Relation:
         """Copies or moves (source, destination): one change for each pair of mounts, nothing where one of them is denied."""
-        name = "move" if remove else "copy"
+        name, owner = "move" if remove else "copy", user if self.user_scoped else None
         pairs = [(self._own(a, user), self._own(b, user)) for a, b in pairs]
         if (no := self._denied([p for pair in pairs for p in (pair if remove else pair[1:])], name)) is not None:
             return self._shown(no, user, name)
@@ -232,9 +232,9 @@ class Namespace:
         for source, target, prefix, own in by.values():
             table = self.spark.createDataFrame(own, "src string, dest string")
             if source is target:
-                done = source._apply((W.move(source.entries, *own[0]) if len(own) == 1 else W.moves(source.entries, table)) if remove else W.copy(source.entries, table, overwrite))
+                done = source._apply((W.move(source.entries, *own[0]) if len(own) == 1 else W.moves(source.entries, table)) if remove else W.copy(source.entries, table, overwrite, owner=owner))
             else:
-                into, gone = W.transfer(source.entries, target.entries, table, remove, overwrite)
+                into, gone = W.transfer(source.entries, target.entries, table, remove, overwrite, owner=owner)
                 gone = cut(gone.entries, "entries") if gone is not None else None
                 done = replace(target._apply(into), function=name)
                 source.entries = source.entries if gone is None else gone
