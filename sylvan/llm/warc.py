@@ -4,7 +4,7 @@ An archive starts with a skippable frame that holds the dictionary and then has
 frame for each record. The writer deduplicates by payload digest: of records with equal
 payloads the one with the smallest page_id is a response, the others are revisits that
 name it. The reader loads the dictionary, decodes frame by frame and validates version,
-headers, lengths and digests.
+headers, lengths and digests; records of any type (warcinfo, request, metadata and others) are read.
 
 Archives are rows (name, content) as ``spark.read.format("binaryFile")`` gives them
 too, so the reader serves files as well as tables. Archives are closed at about 4 MB of
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -36,7 +37,9 @@ from sylvan.llm.common import Staged, arrow_schema, documents, lookup, map_colum
 
 SKIPPABLE, FRAME_MAGIC, DICT_MAGIC = 0x184D2A5D, b"\x28\xb5\x2f\xfd", b"\x37\xa4\x30\xec"
 ARCHIVE_BYTES, LEVEL = 4 << 20, 3
-TRAIN_ROWS, TRAIN_BYTES, DICT_BYTES = 2000, 8 << 20, 32 << 10
+TRAIN_ROWS, TRAIN_BYTES, TRAIN_CHARS, DICT_BYTES = 2000, 8 << 20, 1 << 14, 32 << 10
+#: So many bytes of an archive are fed to the decoder at once.
+PIECE = 1 << 14
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -82,19 +85,30 @@ def parse_record(raw: bytes) -> dict:
     if not headers["content-length"].isdigit() or len(rest) != int(headers["content-length"]) + 4 or not rest.endswith(b"\r\n\r\n"):
         raise WarcError(f"content length {headers['content-length']!r}, block of {len(rest) - 4} bytes")
     block = rest[:-4]
-    own = headers.get("warc-block-digest", "").removeprefix("sha1:")
-    if own and own != digest_of(block):
+    if not same_digest(headers.get("warc-block-digest", ""), block):
         raise WarcError("block digest differs")
-    _, found, payload = block.partition(b"\r\n\r\n")
-    if not found:
-        raise WarcError("no HTTP head in the block")
-    if headers["warc-type"] == "response":
-        stated = headers.get("warc-payload-digest", "").removeprefix("sha1:")
-        if stated and stated != digest_of(payload):
-            raise WarcError("payload digest differs")
+    payload = block
+    # only HTTP messages have a head before their payload; warcinfo, metadata, resource and others are payload alone
+    if headers.get("content-type", "").lower().replace(" ", "").startswith("application/http"):
+        _, found, payload = block.partition(b"\r\n\r\n")
+        if not found:
+            raise WarcError("no HTTP head in the block")
+    # a revisit states the digest of a payload that it doesn't have
+    if headers["warc-type"] != "revisit" and not same_digest(headers.get("warc-payload-digest", ""), payload):
+        raise WarcError("payload digest differs")
     return {"headers": headers, "payload": payload}
 
 
+def same_digest(stated: str, data: bytes) -> bool:
+    """Whether data has a stated digest (algorithm:value, in base 32 or hex); one of an unknown algorithm isn't checked."""
+    name, _, value = stated.strip().partition(":")
+    name = name.lower().replace("-", "")
+    if not value or name not in ("md5", "sha1", "sha256", "sha512"):
+        return True
+    own = hashlib.new(name, data).digest()
+    return value.lower() in (own.hex(), base64.b32encode(own).decode().lower(), base64.b32encode(own).decode().lower().rstrip("="))
+
+
 def read_archive(content: bytes) -> Iterator[dict]:
     """Records of an archive: offset, frame length, headers, payload. Raises WarcError where it is broken."""
     at, n, dictionary = 0, len(content), None
@@ -116,26 +130,37 @@ def read_archive(content: bytes) -> Iterator[dict]:
         if magic & 0xFFFFFFF0 == 0x184D2A50:
             at += 8 + int.from_bytes(content[at + 4 : at + 8], "little")
             continue
-        one = decoder.decompressobj()
+        # fed in pieces, so that what follows a frame is never copied
+        one, parts, end = decoder.decompressobj(), [], at
         try:
-            raw = one.decompress(view[at:])
+            while end < n and not one.eof:
+                parts.append(one.decompress(view[end : end + PIECE]))
+                end = min(n, end + PIECE)
         except zstandard.ZstdError as e:
             raise WarcError(f"bad frame at byte {at}: {e}") from e
         if not one.eof:
             raise WarcError(f"the frame at byte {at} is cut off")
-        length = n - at - len(one.unused_data)
+        length = end - at - len(one.unused_data)
         try:
-            yield {"offset": at, "length": length, **parse_record(raw)}
+            yield {"offset": at, "length": length, **parse_record(b"".join(parts))}
         except (WarcError, UnicodeDecodeError) as e:
             raise WarcError(f"record at byte {at}: {e}") from e
         at += length
 
 
-def train_dictionary(pages: DataFrame, html_col: str, rows: int = TRAIN_ROWS, most: int = TRAIN_BYTES) -> bytes:
-    """A dictionary from a bounded sample (at most ``rows`` payloads, ``most`` bytes); it alters sizes, never records."""
-    share = [(r[0] or "")[:65536].encode() for r in pages.select(html_col).limit(rows).collect()]
+def train_dictionary(pages: DataFrame, html_col: str, rows: int = TRAIN_ROWS, most: int = TRAIN_BYTES, chars: int = TRAIN_CHARS) -> bytes:
+    """A dictionary from a bounded sample; it alters sizes, never records.
+
+    About ``rows`` pages at most, those whose hash is least, and the first ``chars``
+    characters of each, are cut where they lie; at most ``most`` bytes are learned from.
+    """
+    text = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
+    share = rows / max(1, pages.count())
+    some = pages if share >= 1 else pages.where(F.xxhash64(text) < F.lit(int((2 * share - 1) * (1 << 63))))
+    found = some.select(F.xxhash64(text).alias("h"), F.substring(text, 1, chars).alias("t")).orderBy("h", "t").limit(rows)
     samples, total = [], 0
-    for s in share:
+    for r in found.collect():
+        s = r["t"].encode()
         if s and total + len(s) <= most:
             samples.append(s)
             total += len(s)
@@ -195,12 +220,12 @@ def read_archives(archives: DataFrame, content_col: str = "content", keep_payloa
                 for r in read_archive(content or b""):
                     h = r["headers"]
                     kind = h["warc-type"]
-                    full = len(r["payload"]) if kind == "response" else int(h.get("x-payload-length", 0))
+                    full = len(r["payload"]) if kind != "revisit" else int(h.get("x-payload-length", 0))
                     if kind == "response" and "x-payload-length" in h and full != int(h["x-payload-length"]):
                         raise WarcError(f"payload of {full} bytes, {h['x-payload-length']} stated")
                     refers = h.get("warc-refers-to", "").removeprefix("<urn:page:").removesuffix(">")
                     key = h.get("x-page-id", "")
-                    rows.append({"page_id": int(key) if key else None, "record_type": kind, "payload_bytes": full, "payload_digest": h.get("warc-payload-digest", "").removeprefix("sha1:"), "refers_to": int(refers) if refers.lstrip("-").isdigit() else None, "target_uri": h.get("warc-target-uri"), "record_offset": r["offset"], "record_length": r["length"], "payload": r["payload"] if keep_payload else None, "error": None})
+                    rows.append({"page_id": int(key) if key else None, "record_type": kind, "payload_bytes": full, "payload_digest": re.sub("^sha-?1:", "", h.get("warc-payload-digest", ""), flags=re.I), "refers_to": int(refers) if refers.lstrip("-").isdigit() else None, "target_uri": h.get("warc-target-uri"), "record_offset": r["offset"], "record_length": r["length"], "payload": r["payload"] if keep_payload else None, "error": None})
             except WarcError as e:
                 rows.append({"error": str(e)})
             out.append(rows)
