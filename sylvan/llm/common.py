@@ -4,8 +4,11 @@ shared folder, and a key look-up that survives hot keys."""
 from __future__ import annotations
 
 import atexit
+import bisect
 import ctypes
+import itertools
 import os
+import re
 import sys
 import tempfile
 import uuid
@@ -13,13 +16,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 BATCH_ROWS = 1024
 _staged: list[tuple[SparkSession, str]] = []
+_own: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> None:
@@ -42,13 +46,17 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir; a folder of our own only where it is unset and Spark runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="sylvan-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        _staged.append((spark, base))
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    key = spark.sparkContext.applicationId
+    if key not in _own:
+        _own[key] = "file://" + tempfile.mkdtemp(prefix="sylvan-")
+        _staged.append((spark, _own[key]))
+    return _own[key]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -175,13 +183,33 @@ def doc_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", hot_share: float = 0.001, hot_max: int = 10_000) -> DataFrame:
+class Taken:
+    """Stretches of a text, to ask which of them another one meets."""
+
+    def __init__(self, spans: list[tuple]):
+        own = sorted((s[0], s[1]) for s in spans)
+        self.starts = [s for s, _ in own]
+        self.ends = list(itertools.accumulate((e for _, e in own), max))
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect.bisect_left(self.starts, end)
+        return k > 0 and self.ends[k - 1] > start
+
+
+#: What is sent to all tasks at once has at most so many bytes.
+BROADCAST_BYTES, SALTS = 32 << 20, 16
+
+
+def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", hot_share: float = 0.001, hot_max: int = 10_000, size: Column | None = None) -> DataFrame:
     """Join ``big`` with ``small`` (one row per key) though one key may hold a third of ``big``.
 
     Keys with at least ``hot_share`` of the rows of ``big`` (at most 1 / hot_share of
     them, so the broadcast is bounded) are joined by broadcast where they lie; all
     other keys shuffle, and none of those is hot. Nothing is dropped or capped:
     keys beyond ``hot_max`` merely take the shuffle. Null keys match nothing.
+    ``size`` gives the bytes of a row of ``small`` where rows aren't of a few fixed
+    columns: the hottest keys are then sent as far as BROADCAST_BYTES go, and the
+    others are joined part by part, a hot key's rows spread over SALTS parts.
     """
     counts = big.groupBy(*keys).agg(F.count("*").alias("_n"))
     total = max(1, big.count())
@@ -191,6 +219,21 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner"
         return big.join(small, keys, how)
     fields = T.StructType([T.StructField(k, big.schema[k].dataType, True) for k in keys])
     spark = big.sparkSession
+    if size is not None:
+        sizes = {tuple(r[k] for k in keys): r["_size"] for r in small.join(F.broadcast(spark.createDataFrame(rows, fields)), keys, "left_semi").select(*keys, size.alias("_size")).collect()}
+        total, fit = 0, []
+        for row in rows:  # the hottest first
+            total += sizes.get(row, 0)
+            if total <= BROADCAST_BYTES:
+                fit.append(row)
+        wide = [r for r in rows if r not in set(fit)]
+        if wide:
+            wide_keys = F.broadcast(spark.createDataFrame(wide, fields))
+            salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+            spread = big.join(wide_keys, keys, "left_semi").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+            some = spread.join(small.join(wide_keys, keys, "left_semi").select("*", salt), [*keys, "_salt"], how).drop("_salt")
+            others = lookup(big.join(wide_keys, keys, "left_anti"), small.join(wide_keys, keys, "left_anti"), keys, how, hot_share, hot_max, size)
+            return some.unionByName(others)
     hot_keys = F.broadcast(spark.createDataFrame(rows, fields))
     marked = big.join(hot_keys.withColumn("_hot", F.lit(True)), keys, "left")
     hot_small = F.broadcast(small.join(hot_keys, keys, "left_semi"))

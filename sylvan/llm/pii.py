@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import Staged, doc_text, documents, lookup, map_columns
+from sylvan.llm.common import Staged, Taken, doc_text, documents, lookup, map_columns
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -234,7 +234,8 @@ def find_personal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rated = Staged(rated, "pii-terms").df
     if rated.isEmpty():
         return scanned.select(*out)
-    held_by = lookup(scanned.select("doc_id", "text_hash", F.explode("entities").alias("entity")).distinct(), rated, ["entity"])
+    width = 16 * F.size("terms") + F.aggregate("terms", F.lit(0), lambda n, x: n + F.octet_length(x["term"]))
+    held_by = lookup(scanned.select("doc_id", "text_hash", F.explode("entities").alias("entity")).distinct(), rated, ["entity"], size=width)
     per_text = held_by.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
     # only texts that hold an entity are read again, each once by its id and hash
     def run(_: object, ids: list, texts: list) -> dict:
@@ -260,9 +261,10 @@ def all_spans(text: str, terms: list) -> list[tuple[int, int, str]]:
         t, a = x["term"], x["action"]
         action[t] = "remove" if "remove" in (a, action.get(t)) else a
     out = list(base)
+    taken = Taken(base)
     for m in TERM.finditer(text):
         a = action.get(m[0].lower())
-        if a and all(m.end() <= s or m.start() >= e for s, e, _ in base):
+        if a and not taken.meets(m.start(), m.end()):
             out.append((m.start(), m.end(), a))
     out.sort(key=lambda s: (s[0], KINDS.index(s[2])))
     return out

@@ -34,6 +34,8 @@ from sylvan.llm.common import Staged, doc_text, documents, map_columns
 WORD = re.compile(r"[^\W_]+")
 #: At most so many labelled documents are fitted on, chosen by a hash of their id.
 TRAIN_ROWS = 12_000
+#: A task remembers so many words and states of the automaton, then begins anew.
+WORDS_MOST, STATES_MOST = 150_000, 20_000
 STEM, WINDOW_CHARS, WINDOW_WORDS, CUT = (4, 5), 160, 6, 0.3
 QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’", "`": "`"}
 REPORT = frozenset("said says saying called calls calling wrote writes writing quoted quotes quote word term phrase insult slur uses used dit disait appelle mot terme sagte sagt nannte wort begriff dijo dice llamó palabra término".split())
@@ -68,6 +70,10 @@ class FuzzyTrie:
                 node = self.children[node][c]
                 self.reach[node] = max(self.reach[node], allowed(len(w)))
             self.word[node] = w
+        self._begin()
+
+    def _begin(self) -> None:
+        """Forget the states made so far."""
         self.ids: dict[frozenset, int] = {}
         self.states: list[dict[int, int]] = []
         self.moves: list[dict[str, int]] = []
@@ -119,6 +125,8 @@ class FuzzyTrie:
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The lexicon word nearest to this one, within its edits, and their number."""
+        if len(self.states) > STATES_MOST:
+            self._begin()
         at, moves, states = self.start, self.moves, self.states
         for c in word:
             nxt = moves[at].get(c)
@@ -141,7 +149,7 @@ class Model:
 class Matcher(dict):
     """word: (entry, weight, edits), or None; remembers the words it has seen."""
 
-    def __init__(self, model: Model, limit: int = 400_000):
+    def __init__(self, model: Model, limit: int = WORDS_MOST):
         super().__init__()
         self.model, self.limit = model, limit
         self.trie = FuzzyTrie(list(model.words))

@@ -324,9 +324,67 @@ def test_warc(spark):
     assert warc.write_archives(pages.where("false")).count() == 0
 
 
+def test_warc_of_any_kind(spark):
+    def made(kind, mime, block, **more):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:x>", "WARC-Date: 2020-01-01T00:00:00Z", f"Content-Type: {mime}", *(f"{k.replace('_', '-')}: {v}" for k, v in more.items()), f"Content-Length: {len(block)}"]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    body = b"software: test\r\n"
+    records = [
+        made("warcinfo", "application/warc-fields", body), made("metadata", "application/warc-fields", b"a: b"), made("request", "application/http; msgtype=request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n"),
+        made("resource", "text/plain", body, WARC_Payload_Digest="sha256:" + hashlib.sha256(body).hexdigest()), made("conversion", "text/plain", body, WARC_Block_Digest="md5:" + hashlib.md5(body).hexdigest(), WARC_Payload_Digest="blake9:zz"),
+    ]
+    coder = warc.zstandard.ZstdCompressor()
+    content = b"".join(coder.compress(r) for r in records)
+    assert [r["payload"] for r in warc.read_archive(content)] == [body, b"a: b", b"", body, body]
+    rows = warc.read_archives(spark.createDataFrame([(bytearray(content),)], "content binary")).collect()
+    assert [r["record_type"] for r in rows] == ["warcinfo", "metadata", "request", "resource", "conversion"] and all(r["error"] is None for r in rows)
+    with pytest.raises(warc.WarcError):
+        list(warc.read_archive(coder.compress(made("resource", "text/plain", body, WARC_Payload_Digest="sha-256:" + "0" * 64))))
+
+
 # secrets
 
 
+def test_secrets_planted_in_prose():
+    """Recall and precision on prose with one planted key each, and on the same prose without."""
+    r = random.Random(21)
+    model, mixed = secret_scan.trained(), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    pick = lambda a, n: "".join(r.choice(a) for _ in range(n))
+    prose = lambda: " ".join(r.choice(["the", "tion", "heritage", "secret", "garden", "token", "of", "esteem", "password", "manager", "unechtheit", "queñosa", "v2", "2024-05-01"]) for _ in range(60))
+    found = false = looked = 0
+    for _ in range(200):
+        a, b = prose(), prose()
+        key = r.choice([lambda: "ghp_" + pick(mixed, 36), lambda: "the password is " + pick(mixed, 14), lambda: pick(mixed + "+/", 40), lambda: "Bearer " + pick(mixed, 24)])()
+        value = key.rsplit(" ", 1)[-1]
+        start = len(a) + 1 + len(key) - len(value)
+        spans = secret_scan.add_scores(model, [f"{a} {key} {b}", f"{a} {b}"])
+        looked += len(secret_scan.candidates(f"{a} {key} {b}")) + len(secret_scan.candidates(f"{a} {b}"))
+        found += any(s <= start and e >= start + len(value) for s, e, *_ in spans[0][1])
+        false += sum(1 for s, e, *_ in spans[0][1] if e <= start or s >= start + len(value)) + len(spans[1][1])
+    assert found >= 0.95 * 200 and false <= 0.01 * looked, (found, false, looked)
+
+
+def test_secrets_beyond_stated_matches():
+    key = "QzX" + "0af" * 9 + "Kp9Wx2Lm4Tq8"
+    text = f"x {key} y"
+    base, spans = secret_scan.add_scores(secret_scan.trained(), [text])[0]
+    assert [(k, text[s:e]) for s, e, k in base] == [("hex", "0af" * 9)]
+    assert [text[s:e] for s, e, k, _ in spans if k == "cnn"] == ["Kp9Wx2Lm4Tq8"]  # what lies before is too short
+    assert secret_scan.beyond(0, 20, [(2, 5), (7, 12)], [2, 7]) == [(12, 20)] and secret_scan.beyond(3, 5, [(2, 6)], [2]) == []
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_stated_secrets_against_plain_patterns(seed):
+    r = random.Random(seed)
+    kinds = [("assign", r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[1]) >= 6), ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24)]
+    parts = ["password", "Token", "SECRET", "api_key", "apikey", "AKIA", "\"", "'", " ", "  ", ":", "=", "abc", "0af", "ABCDEF", "9" * 9, "f" * 12, "é", "ſ", "K", "\n", "."]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
+        want = sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(kinds) for m in re.finditer(p, text) if ok(m))
+        assert secret_scan.base_spans(text) == [(s, e, kinds[k][0]) for s, k, e in want], text
+
+
 def test_secrets(awkward):
     model = secret_scan.trained()
     found, labels = secret_scan.findings(600, 77)
