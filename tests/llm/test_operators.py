@@ -421,3 +421,45 @@ def test_pii_discloses(spark, awkward):
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert "zorblax" not in clean[0] and "[EMAIL]" in clean[0] and clean[1] == rows[1][1]
     assert pii.find_personal(awkward).count() == len(ROWS) and pii.find_personal(awkward.where("false")).count() == 0
+
+
+def test_fingerprints_against_plain_sets(spark):
+    """The next document, the edited text and both likenesses, worked out one by one."""
+    r = random.Random(17)
+    lines = ["".join(r.choice("abc é\U0001f600") for _ in range(r.randint(0, 12))) for _ in range(12)]
+    rows = [(k * 3 % 101, "\n".join(r.choices(lines, k=r.randint(0, 9)))) for k in range(60)] + [(500, None), (501, ""), (502, "x" * 700 + " " + "y z" * 300)]
+    ordered = sorted(((i, t or "") for i, t in rows), reverse=True)
+
+    def parts(t):
+        return set(fingerprint.digests(t).tolist())
+
+    def alike(a, b):
+        a, b = parts(a), parts(b)
+        return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+
+    for n in (1, 5):
+        got = {x["doc_id"]: x for x in fingerprint.fingerprint_texts(spark.createDataFrame(rows, "doc_id long, text string"), partitions=n).collect()}
+        for k, (i, t) in enumerate(ordered):
+            following = ordered[(k + 1) % len(ordered)][1]
+            half = len(t) // 2
+            edited = t[: len(t) - half] + following[:half]
+            x = got[i]
+            assert x["n_chars"] == len(t) and x["edited_sha256"] == sha(edited.encode())
+            assert (x["near_edited"], x["near_next"]) == (pytest.approx(alike(t, edited)), pytest.approx(alike(t, following)))
+
+
+def test_media_digests_of_whole_texts(spark):
+    """The digest columns of operator 1 from the texts alone, and from the stored form read by its packets."""
+    texts = ["", "a", "x" * 63, "x" * 64, "x" * 65, "é" * 4000, "\x00", "line\n" * 9000]
+    rows = spark.createDataFrame(list(enumerate([*texts, None, texts[3]])), "doc_id long, text string")
+    got = {x["doc_id"]: x for x in media.store_texts(rows).collect()}
+    for k, t in enumerate([*texts, "", texts[3]]):
+        raw = t.encode()
+        padded = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        data = media.mux(media.payload_of(t)[0])
+        packets = media.parse(data).packets
+        assert b"".join(data[p[6] : p[6] + p[7]] for p in packets) == padded
+        x = got[k]
+        assert (x["n_bytes"], x["payload_bytes"], x["payload_sha256"], x["tail_crc32"]) == (len(raw), len(padded), sha(padded), zlib.crc32(padded[-64:]))
+        assert (x["media_bytes"], x["media_sha256"]) == (len(data), sha(data)) and x["feature"]
+    assert got[3]["feature"] == got[9]["feature"] and len({x["feature"] for x in got.values()}) >= len(set(texts)) - 1
