@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylvan.llm.common import FIRST_BYTES, LOWER, Staged, arrow_schema, documents, forget, lookup, map_columns, prepare, scramble, spans, utf8
+from sylvan.llm.common import FIRST_BYTES, LOWER, Bloom, Staged, arrow_schema, documents, forget, lookup, map_columns, prepare, scramble, spans, utf8
 
 INK = bytes(int(c != 32 and not 9 <= c <= 13) for c in range(256))
 U64, LOW32 = np.uint64, np.uint64(0xFFFFFFFF)
@@ -297,45 +297,6 @@ def judge(answers: DataFrame) -> DataFrame:
 # ---- sets of the classes that remain, counted and ordered
 
 
-class Bloom:
-    """A filter of 16 bits a key, 2**26 bits at most; a fuller one merely lets more through."""
-
-    def __init__(self, keys: DataFrame):
-        self.width = min(26, max(13, (16 * max(1, keys.count())).bit_length()))
-        width = self.width
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.zeros(1 << width, bool)
-            for batch in batches:
-                for at in Bloom.places(batch.column(0).to_numpy(), width):
-                    bits[at] = True
-            words = np.packbits(bits).reshape(-1, 1024)
-            used = np.flatnonzero(words.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([words[k].tobytes() for k in used], pa.binary())], names=["block", "bits"])
-
-        def merge(table: pa.Table) -> pa.Table:
-            bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()])
-            return pa.table({"block": table.column("block")[:1], "bits": pa.array([bits.tobytes()], pa.binary())})
-
-        ddl = "block int, bits binary"
-        found = keys.mapInArrow(run, ddl).groupBy("block").applyInArrow(merge, ddl).toArrow()
-        out = np.zeros((1 << width) // 8, np.uint8).reshape(-1, 1024)
-        for block, bits in zip(found.column("block").to_pylist(), found.column("bits").to_pylist()):
-            out[block] = np.frombuffer(bits, np.uint8)
-        self.bits = out.ravel()
-
-    @staticmethod
-    def places(keys: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-        x = scramble(keys.astype(np.int64).view(U64))
-        return tuple((x >> U64(s) & U64((1 << width) - 1)).astype(np.int64) for s in (0, 19, 38))
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        found = np.ones(len(keys), bool)
-        for at in self.places(keys, self.width):
-            found &= (self.bits[at >> 3] & (128 >> (at & 7))) > 0
-        return found
-
-
 def sets_of(docs: DataFrame, wanted) -> DataFrame:
     """(cid, tokens) of the documents whose row key the filter may hold, each class once a task."""
     ddl = "cid long, tokens binary"

@@ -20,14 +20,17 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sylvan.llm.common import Staged, Taken, doc_text, documents, lookup, map_columns
+from sylvan.llm.common import Bloom, Staged, Taken, arrow_schema, doc_text, documents, forget, kept, lookup, map_columns, scramble
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -37,7 +40,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
 KINDS = ("email", "ip", "card", "phone", "remove", "generalise")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-SUPPORT, REMOVE, GENERALISE, BLOOM_BITS = 3, 0.95, 0.85, 23
+SUPPORT, REMOVE, GENERALISE = 3, 0.95, 0.85
+#: A worker remembers so many terms at once.
+TERMS_MOST = 200_000
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -111,11 +116,27 @@ def scan(df: DataFrame) -> DataFrame:
 
 
 def terms_of(text: str) -> set[str]:
-    return {w.lower() for w in TERM.findall(text)}
+    return {w.lower() for w in set(TERM.findall(text))}
+
+
+class TermIds(dict):
+    """Hashes of terms, as Spark's xxhash64 gives them; a worker remembers some."""
+
+    def __missing__(self, term: str) -> int:
+        if len(self) >= TERMS_MOST:
+            self.clear()
+        h = self[term] = xxhash.xxh64_intdigest(term, seed=42)
+        return h
+
+
+def term_ids() -> TermIds:
+    return kept(__name__, "terms", TermIds)
 
 
 def context_of(terms: Iterable[str]) -> int:
-    return hash_of(" ".join(sorted(terms)))
+    """A hash of a set of terms: the sum of theirs, mixed."""
+    total = sum(map(term_ids().__getitem__, terms)) & ((1 << 64) - 1)
+    return int(scramble(np.array([total], np.uint64)).view(np.int64)[0])
 
 
 def contexts(df: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -144,64 +165,70 @@ def contexts(df: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def lookup_semi(big: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``big`` whose entity is wanted. A Bloom filter of fixed size drops most others before any shuffle."""
-    bits = bloom(wanted, "entity")
+    """Rows of ``big`` whose entity is wanted. A Bloom filter drops most others before any shuffle."""
+    bits = big.sparkSession.sparkContext.broadcast(Bloom(wanted.select(F.xxhash64("entity"))))
 
     def run(_: object, entity: list, context: list, terms: list) -> dict:
-        keep = [k for k, v in enumerate(entity) if held(bits, v)]
-        return {"entity": [entity[k] for k in keep], "context": [context[k] for k in keep], "terms": [terms[k] for k in keep]}
+        at = np.flatnonzero(bits.value.has(keys_of(entity))).tolist() if entity else []
+        return {"entity": [entity[k] for k in at], "context": [context[k] for k in at], "terms": [terms[k] for k in at]}
 
     return map_columns(big, run, big.schema).join(wanted, "entity", "left_semi")
 
 
-def bloom(df: DataFrame, col: str) -> bytes:
-    """A Bloom filter of 2**23 bits, whatever the table's size, built in the tasks and merged by or."""
+def keys_of(values: list[str]) -> np.ndarray:
+    """Spark's xxhash64 of strings."""
+    return np.array([xxhash.xxh64_intdigest(v, seed=42) for v in values], np.uint64).view(np.int64)
 
-    def run(_: object, values: list) -> dict:
-        a = np.zeros(1 << BLOOM_BITS, bool)
-        for v in values:
-            h = xxhash.xxh64_intdigest(v)
-            a[[h >> (64 - BLOOM_BITS), h & ((1 << BLOOM_BITS) - 1)]] = True
-        words = np.packbits(a).reshape(-1, 4096)
-        used = np.flatnonzero(words.any(1))
-        return {"block": used.tolist(), "bits": [words[k].tobytes() for k in used]}
 
-    parts = map_columns(df.select(col), run, "block int, bits binary").groupBy("block").agg(F.collect_set("bits").alias("all"))
-    out = np.zeros((1 << BLOOM_BITS) // 8, np.uint8).reshape(-1, 4096)
-    for r in parts.collect():
-        for b in r["all"]:
-            out[r["block"]] |= np.frombuffer(b, np.uint8)
-    return out.tobytes()
+def term_counts(df: DataFrame, terms: DataFrame, repeated: DataFrame) -> DataFrame:
+    """In how many different contexts each of these terms occurs, over all texts.
 
-
-def held(bits: bytes, value: str) -> bool:
-    h = xxhash.xxh64_intdigest(value)
-    a, b = h >> (64 - BLOOM_BITS), h & ((1 << BLOOM_BITS) - 1)
-    return bool(bits[a >> 3] & (128 >> (a & 7)) and bits[b >> 3] & (128 >> (b & 7)))
-
-
-def term_counts(df: DataFrame, terms: DataFrame) -> DataFrame:
-    """In how many different contexts each of these terms occurs, over all texts."""
-    bits = bloom(terms, "term")
-
-    def run(done: set, ids: list, texts: list) -> dict:
-        rows: list[tuple[int, list]] = []
+    Contexts that occur once are counted where they lie, and only sums travel. Those that
+    ``repeated`` has (and some more, as a Bloom filter tells them) travel with their
+    terms, once a task, so that each counts once however many copies there are.
+    """
+    spark = df.sparkSession
+    bits = spark.sparkContext.broadcast((Bloom(terms.select(F.xxhash64("term"))), Bloom(repeated.select("context"))))
+    ddl = "context long, terms array<string>, counts array<long>"
+    schema = arrow_schema(T.StructType.fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(__name__)
+        wanted, copied = bits.value
+        done: set[int] = set()
         known: dict[str, bool] = {}
-        for text in set(texts):
-            own = terms_of(text)
-            key = context_of(own)
-            if key in done:
-                continue
-            done.add(key)
-            for w in own:
-                if w not in known:
-                    known[w] = held(bits, w)
-            if kept := [w for w in own if known[w]]:
-                rows.append((key, kept))
-        return {"context": [k for k, _ in rows], "terms": [x for _, x in rows]}
-
-    once = map_columns(df, run, "context long, terms array<string>", set).dropDuplicates(["context"])
-    return once.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("alone")).join(terms, "term", "left_semi")
+        sums: Counter = Counter()
+
+        def total() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([list(sums)], schema.field(1).type), pa.array([list(sums.values())], schema.field(2).type)], schema=schema)
+
+        for batch in batches:
+            own = [terms_of(t) for t in batch.column(1).to_pylist()]
+            keys = np.array([context_of(x) for x in own], np.int64)
+            if len(known) > TERMS_MOST:
+                known.clear()
+            new = list(set().union(*own) - known.keys())
+            known.update(zip(new, wanted.has(keys_of(new)).tolist() if new else ()))
+            rows = []
+            for x, key, many in zip(own, keys.tolist(), copied.has(keys).tolist() if len(keys) else ()):
+                if not many:
+                    sums.update([w for w in x if known[w]])
+                elif key not in done:
+                    done.add(key)
+                    if held := [w for w in x if known[w]]:
+                        rows.append((key, held))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], schema.field(1).type), pa.nulls(len(rows), schema.field(2).type)], schema=schema)
+            if len(sums) > TERMS_MOST:
+                yield total()
+                sums.clear()
+        if sums:
+            yield total()
+
+    found = Staged(df.mapInArrow(run, ddl), "pii-counts").df
+    single = found.where("context is null").select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.counts").alias("n"))
+    copies = found.where("context is not null").dropDuplicates(["context"]).select(F.explode("terms").alias("term"), F.lit(1).cast("long").alias("n"))
+    return single.unionByName(copies).groupBy("term").agg(F.sum("n").alias("alone")).join(terms, "term", "left_semi")
 
 
 def disclosures(df: DataFrame, scanned: DataFrame, support: int = SUPPORT, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame | None:
@@ -213,8 +240,10 @@ def disclosures(df: DataFrame, scanned: DataFrame, support: int = SUPPORT, remov
     pairs = Staged(contexts(df, wanted.select("entity")).where(F.col("both") >= support), "pii-pairs").df
     if pairs.isEmpty():
         return None
-    total = scanned.select("context").distinct().count()
-    alone = term_counts(df, pairs.select("term").distinct())
+    often = Staged(scanned.groupBy("context").agg(F.count("*").alias("n")), "pii-contexts").df
+    total = often.count()
+    terms = Staged(pairs.select("term").distinct(), "pii-wanted").df
+    alone = term_counts(df, terms, often.where("n > 1"))
     content = -F.log2(F.col("n_entity") / F.lit(float(total)))
     given = F.least(F.lit(1.0), F.col("both") / F.col("alone"))
     share = 1 + F.log2(given) / F.greatest(content, F.lit(1e-9))
