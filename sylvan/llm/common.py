@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -130,6 +131,45 @@ def utf8(column: pa.Array) -> tuple[bytes, np.ndarray]:
     return b"" if data is None else data.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes(), offsets - offsets[0]
 
 
+LONG_WORD = 256
+
+
+def hash_spans(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of bytes; at least 8 more bytes follow the last one."""
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    h = scramble((eight[starts] & FIRST_BYTES[np.minimum(lengths, 8)]) ^ (lengths.astype(U64) * U64(0x9E3779B97F4A7C15)))
+    k, left = 8, np.flatnonzero((lengths > 8) & (lengths <= LONG_WORD))
+    while len(left):
+        h[left] = scramble(h[left] * U64(3) + (eight[starts[left] + k] & FIRST_BYTES[np.minimum(lengths[left] - k, 8)]))
+        k += 8
+        left = left[lengths[left] > k]
+    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+        h[i] = xxhash.xxh64_intdigest(bytes(data[starts[i] : starts[i] + lengths[i]]))
+    return h
+
+
+#: Bytes of UTF-8 beside which a text is handled as a string: of all but ASCII and the letters of two bytes from C3 80 on.
+OTHER = np.array([c >= 0xC0 and c != 0xC3 for c in range(256)])
+
+
+def unusual(d: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which of the texts that stand one after another have other characters than ASCII and Latin letters from U+00C0 to U+00FF."""
+    odd = np.zeros(len(offsets) - 1, bool)
+    strange = OTHER[d]
+    strange[1:] |= (d[:-1] == 0xC3) & ((d[1:] == 0x97) | (d[1:] == 0xB7))  # the signs among the letters
+    odd[np.searchsorted(offsets, np.flatnonzero(strange), "right") - 1] = True
+    return odd
+
+
+def lowered(data: bytes) -> bytearray:
+    """ASCII and Latin letters in lower case, in texts that aren't unusual; 16 bytes follow."""
+    out = bytearray(data.translate(LOWER) + bytes(16))
+    d, low = np.frombuffer(data, np.uint8), np.frombuffer(out, np.uint8)
+    at = np.flatnonzero(d[:-1] == 0xC3) + 1 if len(d) else np.empty(0, np.int64)
+    low[at] += np.where(d[at] <= 0x9E, 0x20, 0).astype(np.uint8)
+    return out
+
+
 _kept: dict[tuple, object] = {}
 
 

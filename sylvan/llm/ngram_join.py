@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylvan.llm.common import FIRST_BYTES, LOWER, Bloom, Staged, arrow_schema, documents, forget, lookup, map_columns, prepare, scramble, spans, utf8
+from sylvan.llm.common import LOWER, Bloom, Staged, arrow_schema, documents, forget, hash_spans, lookup, map_columns, prepare, scramble, spans, utf8
 
 INK = bytes(int(c != 32 and not 9 <= c <= 13) for c in range(256))
 U64, LOW32 = np.uint64, np.uint64(0xFFFFFFFF)
@@ -52,7 +52,7 @@ PERCENT = 70
 CHUNK_TOKENS, CHUNK_DOCS = 1_000_000, 60_000
 #: Input bytes for each part of the hash space, and the most parts.
 PART_BYTES, PARTS_MOST = 8 << 20, 1 << 16
-BLOCK, LONG_RUN, LONG_WORD = 128, 64, 256
+BLOCK, LONG_RUN = 128, 64
 TOGETHER_CLASSES, TOGETHER_TOKENS = 8192, 4_000_000
 #: So many edges are joined up on the driver (16 bytes each), more of them by rounds of stars.
 FEW_EDGES = 1_000_000
@@ -82,15 +82,7 @@ def word_hashes(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     last[at] = ink[at]
     starts = np.flatnonzero(first)
     lengths = np.flatnonzero(last) + 1 - starts
-    eight = np.ndarray((size + 1,), "<u8", data, strides=(1,))
-    h = scramble((eight[starts] & FIRST_BYTES[np.minimum(lengths, 8)]) ^ (lengths.astype(U64) * U64(0x9E3779B97F4A7C15)))
-    k, left = 8, np.flatnonzero((lengths > 8) & (lengths <= LONG_WORD))
-    while len(left):
-        h[left] = scramble(h[left] * U64(3) + (eight[starts[left] + k] & FIRST_BYTES[np.minimum(lengths[left] - k, 8)]))
-        k += 8
-        left = left[lengths[left] > k]
-    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
-        h[i] = xxhash.xxh64_intdigest(data[starts[i] : starts[i] + lengths[i]])
+    h = hash_spans(data, starts, lengths)
     return h, np.diff(np.searchsorted(starts, offsets))
 
 

@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylvan.llm.common import FIRST_BYTES, LOWER, arrow_schema, doc_text, documents, kept, prepare, scramble, spans, utf8
+from sylvan.llm.common import FIRST_BYTES, arrow_schema, doc_text, documents, kept, prepare, scramble, spans, unusual, utf8
+from sylvan.llm.common import lowered as lower_case
 
 END, LENGTH, BITS, TIE, GRAM_BITS, BOUND_ROWS = 2, 4096, 10, 20, 12, 256
 U64 = np.uint64
@@ -41,7 +42,6 @@ LATIN = "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 LETTER = np.array([chr(c).isalpha() if c < 128 else True for c in range(256)])
 MARKS = np.array([chr(c) in PUNCTUATION for c in range(256)])
-OTHER = np.array([c >= 0xC0 and c != 0xC3 for c in range(256)])
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -108,17 +108,10 @@ class TokenTable:
     def encode_all(self, data: bytes, offsets: np.ndarray) -> list[bytes]:
         """Ids of each of the UTF-8 texts that stand one after another."""
         d = np.frombuffer(data, np.uint8)
-        odd = np.zeros(len(offsets) - 1, bool)
-        if not self.usable:
-            odd[:] = True
-        else:
-            strange = OTHER[d]
-            strange[1:] |= (d[:-1] == 0xC3) & ((d[1:] == 0x97) | (d[1:] == 0xB7)) | (d[:-1] == 0x3C) & (d[1:] == 0x7C)
-            odd[np.searchsorted(offsets, np.flatnonzero(strange), "right") - 1] = True
-        lowered = bytearray(data.translate(LOWER) + bytes(16))
-        low = np.frombuffer(lowered, np.uint8)
-        at = np.flatnonzero(d[:-1] == 0xC3) + 1 if len(d) else np.empty(0, np.int64)
-        low[at] += np.where(d[at] <= 0x9E, 0x20, 0).astype(np.uint8)
+        odd = unusual(d, offsets) if self.usable else np.ones(len(offsets) - 1, bool)
+        marks = np.flatnonzero((d[:-1] == 0x3C) & (d[1:] == 0x7C))  # special tokens begin so
+        odd[np.searchsorted(offsets, marks, "right") - 1] = True
+        lowered = lower_case(data)
         ink = (d != 32) & (d != 10)
         first = ink.copy()
         first[1:] &= ~ink[:-1] | LETTER[d[:-1]] & MARKS[d[1:]]

@@ -20,8 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylvan.llm.common import Bloom, Staged, Taken, arrow_schema, doc_text, documents, forget, kept, lookup, map_columns, scramble
+from sylvan.llm.common import Bloom, Staged, Taken, arrow_schema, doc_text, documents, forget, hash_spans, lookup, lowered, map_columns, scramble, unusual, utf8
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -41,8 +40,9 @@ TERM = re.compile(r"[^\W\d_]{3,}")
 KINDS = ("email", "ip", "card", "phone", "remove", "generalise")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 SUPPORT, REMOVE, GENERALISE = 3, 0.95, 0.85
-#: A worker remembers so many terms at once.
-TERMS_MOST = 200_000
+#: A task sums up after so many terms.
+HELD_MOST = 2_000_000
+LETTERS = np.array([chr(c).isalpha() if c < 128 else True for c in range(256)])
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -108,9 +108,9 @@ def scan(df: DataFrame) -> DataFrame:
             base = base_spans(text)
             kinds = [k for _, _, k in base]
             values = sorted({value_of(text, *s) for s in base})
-            rows.append((i, hash_of(text), *(kinds.count(k) for k in KINDS[:4]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base), values, context_of(terms_of(text))))
-        names = ("doc_id", "text_hash", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "entities", "context")
-        return {k: [r[j] for r in rows] for j, k in enumerate(names)}
+            rows.append((i, hash_of(text), *(kinds.count(k) for k in KINDS[:4]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base), values))
+        names = ("doc_id", "text_hash", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "entities")
+        return {k: [r[j] for r in rows] for j, k in enumerate(names)} | {"context": contexts_of(pa.array(texts, pa.string())).tolist()}
 
     return map_columns(df, run, "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, entities array<string>, context long")
 
@@ -119,24 +119,55 @@ def terms_of(text: str) -> set[str]:
     return {w.lower() for w in set(TERM.findall(text))}
 
 
-class TermIds(dict):
-    """Hashes of terms, as Spark's xxhash64 gives them; a worker remembers some."""
-
-    def __missing__(self, term: str) -> int:
-        if len(self) >= TERMS_MOST:
-            self.clear()
-        h = self[term] = xxhash.xxh64_intdigest(term, seed=42)
-        return h
-
-
-def term_ids() -> TermIds:
-    return kept(__name__, "terms", TermIds)
-
-
-def context_of(terms: Iterable[str]) -> int:
-    """A hash of a set of terms: the sum of theirs, mixed."""
-    total = sum(map(term_ids().__getitem__, terms)) & ((1 << 64) - 1)
-    return int(scramble(np.array([total], np.uint64)).view(np.int64)[0])
+def term_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's distinct terms, sorted, one text after another; and their numbers."""
+    data, offsets = utf8(column)
+    odd = np.flatnonzero(unusual(np.frombuffer(data, np.uint8), offsets))
+    if len(odd):  # their terms in lower case stand for them
+        texts = [data[a:b] for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+        for k in odd.tolist():
+            texts[k] = " ".join(terms_of(texts[k].decode())).encode()
+        data, offsets = b" ".join(texts), np.cumsum([0, *(len(t) + 1 for t in texts)])
+    size = len(data)
+    low = np.frombuffer(lowered(data), np.uint8) if not len(odd) else np.frombuffer(_lowered_but(data, offsets, odd), np.uint8)
+    ink = LETTERS[low[:size]]
+    first, last = ink.copy(), ink.copy()
+    first[1:] &= ~ink[:-1]
+    last[:-1] &= ~ink[1:]
+    begins, ends = offsets[:-1][offsets[:-1] < size], offsets[1:][(offsets[1:] > 0) & (offsets[1:] <= size)] - 1
+    first[begins] = ink[begins]
+    last[ends] = ink[ends]
+    starts = np.flatnonzero(first)
+    lengths = np.flatnonzero(last) + 1 - starts
+    chars = np.concatenate([[0], np.cumsum((low[:size] & 0xC0) != 0x80)])
+    keep = chars[starts + lengths] - chars[starts] >= 3
+    starts, lengths = starts[keep], lengths[keep]
+    h = hash_spans(low.tobytes(), starts, lengths)
+    bounds = np.searchsorted(starts, offsets).tolist()
+    for a, b in zip(bounds, bounds[1:]):
+        if b - a > 1:
+            h[a:b].sort()
+    once = np.ones(len(h), bool)
+    once[1:] = h[1:] != h[:-1]
+    once[[a for a, b in zip(bounds, bounds[1:]) if b > a]] = True
+    total = np.concatenate([[0], np.cumsum(once)])
+    return h[once], np.diff(total[bounds])
+
+
+def _lowered_but(data: bytes, offsets: np.ndarray, odd: np.ndarray) -> bytes:
+    """In lower case, but for texts that are so already and have letters of which only a part of the bytes looks Latin."""
+    low = lowered(data)
+    for k in odd.tolist():
+        low[offsets[k] : offsets[k + 1]] = data[offsets[k] : offsets[k + 1]]
+    return bytes(low)
+
+
+def contexts_of(column: pa.Array) -> np.ndarray:
+    """A hash of each text's set of terms: the sum of theirs, mixed."""
+    h, n = term_hashes(column)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)])
+    ends = np.cumsum(n)
+    return scramble(total[ends] - total[ends - n]).view(np.int64)
 
 
 def contexts(df: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -148,11 +179,10 @@ def contexts(df: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(_: object, ids: list, texts: list) -> dict:
         entity, terms, context = [], [], []
-        for text in texts:
+        for text, key in zip(texts, contexts_of(pa.array(texts, pa.string())).tolist()):
             values = {value_of(text, *s) for s in base_spans(text)}
             if values:
                 own = sorted(terms_of(text))
-                key = context_of(own)
                 for v in sorted(values):
                     entity.append(v)
                     terms.append(own)
@@ -181,54 +211,75 @@ def keys_of(values: list[str]) -> np.ndarray:
 
 
 def term_counts(df: DataFrame, terms: DataFrame, repeated: DataFrame) -> DataFrame:
-    """In how many different contexts each of these terms occurs, over all texts.
+    """In how many different contexts each of these terms occurs, over all texts. Terms go by 64-bit hashes.
 
     Contexts that occur once are counted where they lie, and only sums travel. Those that
     ``repeated`` has (and some more, as a Bloom filter tells them) travel with their
     terms, once a task, so that each counts once however many copies there are.
     """
     spark = df.sparkSession
-    bits = spark.sparkContext.broadcast((Bloom(terms.select(F.xxhash64("term"))), Bloom(repeated.select("context"))))
-    ddl = "context long, terms array<string>, counts array<long>"
+    named = Staged(map_columns(terms, lambda _, own: {"term": own, "h": [int(x) for x in hashes_of(own)]}, "term string, h long"), "pii-terms").df
+    bits = spark.sparkContext.broadcast((Bloom(named.select("h")), Bloom(repeated.select("context"))))
+    ddl = "context long, h binary, n binary"
     schema = arrow_schema(T.StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget(__name__)
         wanted, copied = bits.value
         done: set[int] = set()
-        known: dict[str, bool] = {}
-        sums: Counter = Counter()
+        held: list[np.ndarray] = []
+        size = 0
 
         def total() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([list(sums)], schema.field(1).type), pa.array([list(sums.values())], schema.field(2).type)], schema=schema)
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([h.tobytes()]), pa.array([n.astype(np.int64).tobytes()])], schema=schema)
 
         for batch in batches:
-            own = [terms_of(t) for t in batch.column(1).to_pylist()]
-            keys = np.array([context_of(x) for x in own], np.int64)
-            if len(known) > TERMS_MOST:
-                known.clear()
-            new = list(set().union(*own) - known.keys())
-            known.update(zip(new, wanted.has(keys_of(new)).tolist() if new else ()))
+            h, n = term_hashes(batch.column(1))
+            keys = contexts_of(batch.column(1))
+            owner = np.repeat(np.arange(len(n)), n)
+            on = wanted.has(h.view(np.int64)) if len(h) else np.empty(0, bool)
+            h, owner = h[on], owner[on]
+            many = copied.has(keys) if len(keys) else np.empty(0, bool)
+            held.append(h[~many[owner]])
+            size += len(held[-1])
+            cuts = np.searchsorted(owner, np.arange(len(n) + 1))
             rows = []
-            for x, key, many in zip(own, keys.tolist(), copied.has(keys).tolist() if len(keys) else ()):
-                if not many:
-                    sums.update([w for w in x if known[w]])
-                elif key not in done:
-                    done.add(key)
-                    if held := [w for w in x if known[w]]:
-                        rows.append((key, held))
+            for k in np.flatnonzero(many).tolist():
+                if (c := int(keys[k])) not in done:
+                    done.add(c)
+                    rows.append((c, h[cuts[k] : cuts[k + 1]].tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], schema.field(1).type), pa.nulls(len(rows), schema.field(2).type)], schema=schema)
-            if len(sums) > TERMS_MOST:
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows]), pa.array([x for _, x in rows], pa.binary()), pa.nulls(len(rows), pa.binary())], schema=schema)
+            if size > HELD_MOST:
                 yield total()
-                sums.clear()
-        if sums:
+                held, size = [], 0
+        if size:
             yield total()
 
     found = Staged(df.mapInArrow(run, ddl), "pii-counts").df
-    single = found.where("context is null").select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.counts").alias("n"))
-    copies = found.where("context is not null").dropDuplicates(["context"]).select(F.explode("terms").alias("term"), F.lit(1).cast("long").alias("n"))
-    return single.unionByName(copies).groupBy("term").agg(F.sum("n").alias("alone")).join(terms, "term", "left_semi")
+    once = found.where("context is null").unionByName(found.where("context is not null").dropDuplicates(["context"]))
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of what a task reads, so that what travels is a row a term and task."""
+        out = pa.schema([("h", pa.int64()), ("n", pa.int64())])
+        for batch in batches:
+            h, n = [], []
+            for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                h.append(np.frombuffer(x, np.int64))
+                n.append(np.ones(len(h[-1]), np.int64) if y is None else np.frombuffer(y, np.int64))
+            if h:
+                keys, at = np.unique(np.concatenate(h), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at, np.concatenate(n)).astype(np.int64))], schema=out)
+
+    return once.mapInArrow(counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("alone")).join(named, "h").select("term", "alone")
+
+
+def hashes_of(terms: list[str]) -> np.ndarray:
+    """Hashes of terms as ``term_hashes`` has them."""
+    data = [t.encode() for t in terms]
+    size = np.array([len(x) for x in data], np.int64)
+    return hash_spans(b"".join(data) + bytes(8), np.cumsum(size) - size, size).view(np.int64)
 
 
 def disclosures(df: DataFrame, scanned: DataFrame, support: int = SUPPORT, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame | None:

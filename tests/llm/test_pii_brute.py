@@ -90,3 +90,23 @@ def test_wide_rows_of_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_BYTES", 600)
     got = common.lookup(big, small, ["k"], size=F.octet_length(F.array_join("v", "")))
     assert sorted((r["k"], r["id"]) for r in got.collect()) == want and all(r["v"] == ["x" * 50] * 5 for r in got.collect())
+
+
+def test_contexts_are_sets_of_terms():
+    """Equal sets of terms, whatever their order, case and surroundings, have equal contexts; the hashes are those of the terms."""
+    import pyarrow as pa
+
+    r = random.Random(5)
+    parts = ["abc", "ABC", "Éñç", "éÑÇ", "ab", "xyz1", "foo_bar", "日本語", "ΣΑΣ", "σας", "İxx", " ", "\n", "9", "×", "÷", "ªºµ", "don't", "ßßß", "ñ", "\u0130abc"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 10))) for _ in range(2000)] + ["", " ", "abc"]
+    for some in (texts, texts[-3:], [""], []):
+        column = pa.array(some, pa.string())
+        h, n = pii.term_hashes(column)
+        at = 0
+        for t, k in zip(some, n.tolist()):
+            own = {w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)}
+            assert sorted(h[at : at + k].view("int64").tolist()) == sorted(pii.hashes_of(sorted(own)).tolist()), t
+            at += k
+        keys = pii.contexts_of(column).tolist()
+        sets = [frozenset(w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)) for t in some]
+        assert len(set(keys)) == len(set(sets)) and len(set(zip(keys, sets))) == len(set(sets))
