@@ -25,8 +25,21 @@ def seeds(entries: DataFrame, wanted: Iterable[str] | DataFrame | Relation) -> D
     return entries.sparkSession.createDataFrame([(P.normalize(p),) for p in wanted], "path string").distinct()
 
 
+#: Up to so many paths given as arguments become a filter that the scan takes; more of them are joined.
+FEW_PATHS = 200
+
+
+def at_paths(entries: DataFrame, wanted: Iterable[str] | DataFrame | Relation) -> DataFrame:
+    """The rows at the paths that are asked for."""
+    if not isinstance(wanted, (Relation, DataFrame)):
+        wanted = [P.normalize(p) for p in wanted]
+        if len(wanted) <= FEW_PATHS:
+            return entries.where(F.col("path").isin(wanted))
+    return entries.join(seeds(entries, wanted), "path", "left_semi")
+
+
 def read(entries: DataFrame, wanted: Iterable[str] | DataFrame | Relation, columns: tuple[str, ...] = ("kind", "content", "size_bytes", "updated_at"), function: str = "read") -> Relation:
-    return Relation.by_path(live(entries).join(seeds(entries, wanted), "path", "left_semi").select("path", *columns), function)
+    return Relation.by_path(at_paths(live(entries), wanted).select("path", *columns), function)
 
 
 def not_found(entries: DataFrame, wanted: Iterable[str] | DataFrame | Relation) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Changes to entries. Each takes the current rows and returns the next ones, lazily; a sink writes them.
+"""Changes to entries. Each takes the current rows and returns the next ones, which a sink writes; a write stages its batch.
 
 A change is (entries, touched, errors): all rows after it, a relation of what it touched,
 and a table of (path, error) for what it refused.
@@ -17,8 +17,9 @@ from sylvan.functions import paths as P
 from sylvan.functions import text as X
 from sylvan.functions.shipping import ship
 from sylvan.operators.relation import Relation
-from sylvan.operators.scan import live, seeds
+from sylvan.operators.scan import FEW_PATHS, at_paths, live, seeds
 from sylvan.schema import ENTRY
+from sylvan.sources.staging import cut
 from sylvan.sources.tables import derive
 
 NAMES = ENTRY.fieldNames()
@@ -30,6 +31,8 @@ class Change:
     entries: DataFrame
     touched: Relation
     errors: DataFrame
+    #: Of a write, the rows that are new or changed.
+    added: DataFrame | None = None
 
 
 def _errors(df: DataFrame) -> DataFrame:
@@ -77,6 +80,8 @@ def write(entries: DataFrame, rows: DataFrame, overwrite: bool = True, now: Colu
     met = met.withColumn("_owner", owner).join(owners, "_owner", "left").withColumn("_why", F.coalesce("_why", F.when((F.col("kind") == "chunk") & F.col("_owned").isNull(), F.lit("the chunk's file is missing"))))
     last = live(entries).where("kind = 'version'").select(F.regexp_extract("path", _OF_VERSION, 1).alias("_file"), F.col("version_number").alias("_at"), F.coalesce("content_hash", F.when(F.col("is_snapshot"), F.sha2("content", 256))).alias("_kept"))
     met = met.join(last, (F.col("path") == F.col("_file")) & (F.col("_version") == F.col("_at")), "left")
+    # the batch with what was found of it is looked up once; all that follows reads it
+    met = cut(met, "batch")
     good = met.where("_why is null")
     was_file = (F.col("kind") == "file") & F.coalesce("_live", F.lit(False)) & (F.coalesce("_version", F.lit(0)) > 0)
     found = F.sha2(F.coalesce("_old", F.lit("")), 256)
@@ -97,7 +102,7 @@ def write(entries: DataFrame, rows: DataFrame, overwrite: bool = True, now: Colu
         added = added.unionByName(version_rows(files.unionByName(kept_first), now))
     kept = entries.join(added.select("path"), "path", "left_anti")
     errors = met.where("_why is not null").select("path", F.col("_why").alias("error")).distinct()
-    return Change(kept.select(*NAMES).unionByName(added.select(*NAMES)), _touched(new, "write"), errors)
+    return Change(kept.select(*NAMES).unionByName(added.select(*NAMES)), _touched(new, "write"), errors, added.select(*NAMES))
 
 
 def version_rows(files: DataFrame, now: Column) -> DataFrame:
@@ -146,18 +151,34 @@ def below(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(hit, "path", "left_semi")
 
 
+def within(path: Column, root: str) -> Column:
+    """Whether a path lies at or below a root or in the metadata of what does: tests of prefixes, which the scan takes."""
+    inner = root[len(P.META) :].split(f"/{P.FRAME}", 1)[0] if root.startswith(P.META + "/") else None
+    own = (path == root) | path.startswith(root + "/")
+    return own if inner is not None and not inner else own | path.startswith(f"{P.META}{root}/")
+
+
 def delete(entries: DataFrame, wanted: Iterable[str] | DataFrame | Relation, permanent: bool = False, cascade: bool = True, now: Column | None = None) -> Change:
     """Marks rows and all below them as deleted, or removes them."""
     now = now if now is not None else F.current_timestamp()
     alive = live(entries)
-    roots = alive.join(seeds(entries, wanted), "path", "left_semi").select("path").where(~F.col("path").isin(P.ROOT, P.META))
+    if not isinstance(wanted, (Relation, DataFrame)):
+        wanted = list(wanted)
+    roots = at_paths(alive, wanted).select("path").where(~F.col("path").isin(P.ROOT, P.META))
     errors = seeds(entries, wanted).join(roots, "path", "left_anti").select("path", F.concat(F.lit("Not found: "), "path").alias("error"))
     if not cascade:
         parents = alive.select(F.col("parent_path").alias("path")).distinct()
         full = roots.join(parents, "path", "left_semi")
         errors = errors.unionByName(full.select("path", F.concat(F.lit("Not empty: "), "path").alias("error")))
         roots = roots.join(full, "path", "left_anti")
-    gone = below(alive.select("path", "kind", "size_bytes", "updated_at"), roots)
+    rows = alive.select("path", "kind", "size_bytes", "updated_at")
+    if isinstance(wanted, list) and len(wanted) <= FEW_PATHS:
+        test = F.lit(False)
+        for r in roots.toLocalIterator():  # at most FEW_PATHS
+            test |= within(F.col("path"), r[0])
+        gone = rows.where(test)
+    else:
+        gone = below(rows, roots)
     if permanent:
         kept = entries.join(gone.select("path"), "path", "left_anti")
     else:

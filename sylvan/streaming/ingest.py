@@ -11,31 +11,61 @@ from sylvan.sources.tables import derive
 
 
 class EntryTable:
-    """Versions of the entries in numbered folders; a batch that is replayed finds its folder and does nothing."""
+    """Entries as a base and the changes of each batch since, in numbered folders.
+
+    A batch writes the rows that it changes alone (``d<n>``); after COMPACT batches the next
+    one writes a base (``b<n>``), and what was before the last base goes. A batch that is
+    replayed finds its folder and does nothing.
+    """
+
+    COMPACT = 16
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _versions(self) -> list[int]:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = at.getFileSystem(conf)
+    def _fs(self):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _written(self) -> list[tuple[int, str]]:
+        """(batch, kind) of all folders that were written to their end."""
+        fs, at = self._fs()
         if not fs.exists(at):
             return []
         names = [s.getPath() for s in fs.listStatus(at)]
-        return sorted(int(p.getName()[1:]) for p in names if p.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        done = [p.getName() for p in names if p.getName()[:1] in "bd" and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted((int(n[1:]), n[0]) for n in done)
+
+    def _load(self, n: int, kind: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{kind}{n}")
 
     def read(self) -> DataFrame:
-        found = self._versions()
-        if not found:
-            return derive(self.spark.createDataFrame([], "path string, content string"))
-        return self.spark.read.parquet(f"{self.folder}/v{found[-1]}")
+        found = self._written()
+        base = max((n for n, kind in found if kind == "b"), default=None)
+        rows = self._load(base, "b") if base is not None else derive(self.spark.createDataFrame([], "path string, content string"))
+        for n in (n for n, kind in found if kind == "d" and (base is None or n > base)):
+            new = self._load(n, "d")
+            rows = rows.join(new.select("path"), "path", "left_anti").select(*new.columns).unionByName(new)
+        return rows
 
     def upsert(self, rows: DataFrame, version: int) -> None:
-        if version in self._versions():
+        found = self._written()
+        if any(n == version for n, _ in found):
             return
         last = rows.groupBy("path").agg(F.max_by("content", "ts").alias("content"), F.max("ts").alias("ts"))
-        write(self.read(), last.select("path", "content"), now=F.current_timestamp()).entries.write.mode("overwrite").parquet(f"{self.folder}/v{version}")
+        change = write(self.read(), last.select("path", "content"), now=F.current_timestamp())
+        base = max((n for n, kind in found if kind == "b"), default=-1)
+        full = base < 0 or sum(1 for n, kind in found if kind == "d" and n > base) >= self.COMPACT
+        out = change.entries if full else change.added
+        out.write.mode("overwrite").parquet(f"{self.folder}/{'b' if full else 'd'}{version}")
+        if full:
+            self._drop([(n, kind) for n, kind in found if n < base])
+
+    def _drop(self, old: list[tuple[int, str]]) -> None:
+        """What lies before the base before: readers of the last one may still be at work."""
+        fs, _ = self._fs()
+        for n, kind in old:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}{n}"), True)
 
 
 def ingest(stream: DataFrame, table: EntryTable) -> DataStreamWriter:

@@ -50,6 +50,19 @@ def test_lines():
     assert G.extensions_of(["python", "js", "xyz"]) == ["py", "pyi", "cjs", "js", "mjs", "xyz"]
 
 
+def test_type_names():
+    expand = lambda *names: sorted(G.extensions_of(names))
+    assert expand("cpp") == sorted(["cpp", "cc", "cxx", "hpp", "hh", "hxx", "h"]) and expand("cs") == expand("csharp") == ["cs"]
+    assert expand("js", "jsx") == ["cjs", "js", "jsx", "mjs"] and expand("tf") == expand("terraform") == ["tf", "tfvars"] and expand("make") == ["mak", "makefile", "mk"]
+    assert expand("bash") == ["bash", "fish", "sh", "zsh"] and expand("zsh") == ["zsh"] and expand("md") == ["markdown", "md", "mdown", "mkdn"] and expand("Mjs") == ["mjs"]
+    assert expand("perl") == ["pl", "pm", "t"] and expand("docker") == ["dockerfile"] and expand("patch") == ["diff", "patch"] and len(G.TYPES) >= 79
+
+
+def test_edit_tells_where():
+    done = X.edit("one\ntwo\nthree\ntwo\nfive\nsix\nseven\neight", "two", "2")
+    assert "Found 2 matches" in done.error and "Match at line 2:" in done.error and "   2 > two" in done.error and "   7   seven" in done.error and "   8   eight" not in done.error.split("Match at line 2:")[1].split("---")[0]
+
+
 def test_edit_levels():
     assert X.edit("a b a", "b", "c").content == "a c a"
     assert not X.edit("a b a", "a", "c").success and X.edit("a b a", "a", "c", True).content == "c b c"

@@ -126,6 +126,98 @@ def test_namespace(spark, entries):
         users.query("ls /")
 
 
+def test_users_keep_to_their_trees(spark):
+    rows = [("/u1", None, None), ("/u1/a.txt", "mine", "u1"), ("/u1/move.txt", "payload", "u1"), ("/u1/src/e.py", "x", "u1"), ("/u2/top.txt", "hidden", "u2")]
+    space = Namespace(T.derive(spark.createDataFrame(rows, "path string, content string, owner_id string")), user_scoped=True)
+    raw = lambda path: space.entries.where((F.col("path") == path) & F.col("deleted_at").isNull()).first()
+    for wrong in (None, "", "a/b", ".."):
+        for change in (lambda u: space.mkdir(["/d"], u), lambda u: space.edit(["/a.txt"], [("m", "n", False)], u), lambda u: space.mkedge("/a", "/b", "t", u), lambda u: space.transfer("/a.txt", "/b.txt", True, user=u), lambda u: space.delete(["/a.txt"], user=u), lambda u: space.write([("/a", "b")], user=u)):
+            with pytest.raises(ValueError):
+                change(wrong)
+    assert space.query("cat /../u2/top.txt", user="u1").errors and not paths(space.query("cat /../u2/top.txt", user="u1"))
+    assert not space.query("cp /u2/top.txt /loot.txt", user="u1").success and not paths(space.query("cat /loot.txt", user="u1"))
+    done = space.query("edit /u2/top.txt hidden changed", user="u1")
+    assert not done.success and "/u1/" not in done.errors[0]
+    moved = space.query("mv /move.txt /u2/top.txt", user="u1")
+    assert moved.success and paths(moved) == ["/u2/top.txt"]
+    assert (raw("/u1/u2/top.txt")["content"], raw("/u1/u2/top.txt")["owner_id"], raw("/u2/top.txt")["content"]) == ("payload", "u1", "hidden")
+    assert not space.query("rm /u2/nothing.txt", user="u1").success
+    linked = space.query("mkedge /src/e.py /u2/top.txt imports", user="u1")
+    edge = space.entries.where("kind = 'edge'").first()
+    assert linked.success and (edge["source_path"], edge["target_path"]) == ("/u1/src/e.py", "/u1/u2/top.txt")
+    assert paths(space.query("succ /src/e.py", user="u1")) == ["/u2/top.txt"]
+    assert space.query("mkdir /u2/sub", user="u1").success and raw("/u1/u2/sub") and not raw("/u2/sub")
+    assert [r["content"] for r in space.query("cat /top.txt", user="u2").df.collect()] == ["hidden"]
+
+
+def test_reads_tell_what_is_missing(entries):
+    space = Namespace(entries)
+    assert space.query("cat /no.txt").errors == ("Not found: /no.txt",) and paths(space.query("cat /no.txt /notes.md")) == ["/notes.md"]
+    assert space.query("stat /no.txt").errors and not space.query("stat /src").errors
+    assert space.query("tree /no").errors == ("Not found: /no",) and space.query("tree /notes.md").errors == ("Not a directory: /notes.md",)
+    assert space.query("tree / --depth 1").success and "ERROR: Not found: /no.txt" in space.cli("cat /no.txt")
+    assert paths(space.query("glob /src | tree")) == ["/src/a.py", "/src/sub", "/src/sub/b.py"] and paths(space.query("glob /src | tree --depth 1")) == ["/src/a.py", "/src/sub"]
+
+
+def test_included_kinds_come_on_top(spark, entries):
+    linked = W.mkedge(entries, spark.createDataFrame([("/src/a.py", "/lib/c.py", "uses")], "source string, target string, type string")).entries
+    space = Namespace(linked)
+    shown = space.query("tree /.meta/src --include edge | kinds edge")
+    assert len(paths(shown)) == 1 and paths(space.query("glob '/src/**' --include edge")) == paths(space.query("glob '/src/**'"))
+
+
+def test_repeated_paths(spark):
+    a = Relation.of(spark.createDataFrame([("/x", "first"), ("/x", "second"), ("/y", "only")], "path string, content string"))
+    for got in (a & a, a | a):
+        assert sorted((r["path"], r["content"]) for r in got.df.collect()) == [("/x", "second"), ("/y", "only")]
+    assert paths(a - Relation.of(spark.createDataFrame([("/y",)], "path string"))) == ["/x"]
+
+
+def test_write_keeps_what_it_found(spark, entries):
+    one = W.write(entries, spark.createDataFrame([("/n.txt", "v1"), ("/m.txt", "w1")], "path string, content string")).entries.cache()
+    changed = one.withColumn("content", F.when(F.col("path") == "/n.txt", F.lit("outside")).otherwise(F.col("content"))).where("path <> '/.meta/m.txt/__meta__/versions/1'")
+    done = W.write(changed, spark.createDataFrame([("/n.txt", "v2"), ("/m.txt", "w2")], "path string, content string")).entries.cache()
+    rows = {r["path"]: (r["created_by"], r["is_snapshot"]) for r in done.where("kind = 'version'").collect()}
+    assert rows["/.meta/n.txt/__meta__/versions/2"] == ("external", True) and rows["/.meta/n.txt/__meta__/versions/3"] == ("auto", False)
+    assert rows["/.meta/m.txt/__meta__/versions/2"] == ("repair", True) and rows["/.meta/m.txt/__meta__/versions/3"] == ("auto", False)
+    texts = {(r["path"], r["version_number"]): r["content"] for r in W.reconstruct(done).where("path = '/n.txt'").collect()}
+    assert texts == {("/n.txt", 1): "v1", ("/n.txt", 2): "outside", ("/n.txt", 3): "v2"}
+    again = W.write(done, spark.createDataFrame([("/n.txt", "v2")], "path string, content string")).entries
+    assert again.where("path = '/n.txt'").first()["version_number"] == 3
+
+
+def test_batches_of_moves(spark):
+    rows = T.derive(T.with_directories(spark.createDataFrame([("/a/x.txt", "1"), ("/a/b/y.txt", "2"), ("/c.txt", "3")], "path string, content string")))
+    rows = W.mkedge(rows, spark.createDataFrame([("/a/x.txt", "/c.txt", "t"), ("/c.txt", "/a/b/y.txt", "t")], "source string, target string, type string")).entries.cache()
+    pairs = [("/a", "/d/a"), ("/a/b", "/d/b"), ("/c.txt", "/d/c.txt"), ("/gone", "/d/gone"), ("/a/x.txt", "/a/x.txt/y")]
+    done = W.moves(rows, spark.createDataFrame(pairs, "src string, dest string"))
+    assert paths(S.live(done.entries).where("kind <> 'edge' and kind <> 'version' and path not like '/.meta%'")) == ["/d", "/d/a", "/d/a/b", "/d/a/b/y.txt", "/d/a/x.txt", "/d/c.txt"]
+    assert {(r["src"], r["dst"]) for r in Gr.edges_of(done.entries).collect()} == {("/d/a/x.txt", "/d/c.txt"), ("/d/c.txt", "/d/a/b/y.txt")}
+    assert {r["path"] for r in done.errors.collect()} == {"/a/b", "/gone", "/a/x.txt"}
+
+
+def test_zero_vectors(spark):
+    items = spark.createDataFrame([("/a", [0.0, 0.0]), ("/b", [1.0, 1.0])], "path string, embedding array<float>")
+    assert [(r["path"], round(r["score"], 6)) for r in V.vector_search(items, [1, 1], 2).ordered().collect()] == [("/b", 1.0), ("/a", 0.0)]
+
+
+def test_changes_over_mounts(spark):
+    make = lambda *rows: Namespace(T.derive(T.with_directories(spark.createDataFrame(list(rows), "path string, content string"))))
+    space, one, two = make(("/r.txt", "root")), make(("/a.txt", "old")), make(("/b.txt", "old"))
+    space.mount("one", one)
+    space.mount("two", two)
+    assert space.query("edit /one/a.txt old new").success and [r["content"] for r in space.query("cat /one/a.txt").df.collect()] == ["new"]
+    assert space.query("mkdir /two/sub/deep").success and "/two/sub/deep" in paths(space.query("ls /two/sub"))
+    assert paths(space.query("cp /one/a.txt /two/c.txt")) == ["/two/c.txt"] and space.query("mv /two/c.txt /one/d.txt").success
+    assert paths(space.query("glob '/*/*.txt' | rm")) == ["/one/a.txt", "/one/d.txt", "/two/b.txt"]
+
+
+def test_token_windows(spark):
+    df = spark.createDataFrame([("/a", "a b c d e f g"), ("/b", " "), ("/c", "x y")], "path string, content string")
+    rows = sorted((r["path"], r["chunk_no"], r["token_start"], r["token_end"], " ".join(r["tokens"])) for r in T.token_windows(df, 4, 1).collect())
+    assert rows == [("/a", 0, 0, 4, "a b c d"), ("/a", 1, 3, 7, "d e f g"), ("/c", 0, 0, 2, "x y")]
+
+
 def test_chunks(spark):
     df = spark.createDataFrame([("/a", "one\ntwo\nthree\nfour"), ("/b", "")], "path string, content string")
     rows = sorted((r["chunk_no"], r["line_start"], r["line_end"], r["content"]) for r in T.line_chunks(df, 8).collect())
@@ -143,3 +235,11 @@ def test_streaming_ingest(spark, tmp_path):
     q = ingest(stream, table).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [r["content"] for r in table.read().where("path = '/a.txt'").collect()] == ["2"]
+    EntryTable.COMPACT = 2
+    for n in range(1, 6):
+        batch = spark.createDataFrame([("/a.txt", f"v{n}"), (f"/new{n}.txt", "x")], "path string, content string").withColumn("ts", F.current_timestamp())
+        table.upsert(batch, n)
+        table.upsert(batch.withColumn("content", F.lit("replayed")), n)
+    rows = {r["path"]: r["content"] for r in table.read().where("kind = 'file'").collect()}
+    assert rows == {"/a.txt": "v5", **{f"/new{n}.txt": "x" for n in range(1, 6)}}
+    assert [n for n, _ in table._written()] == [0, 1, 2, 3, 4, 5] or len(table._written()) < 6
