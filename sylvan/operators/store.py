@@ -259,24 +259,21 @@ def moves(entries: DataFrame, pairs: DataFrame, now: Column | None = None) -> Ch
         .when((F.col("dest") == F.col("src")) | F.col("dest").startswith(F.concat("src", F.lit("/"))), F.concat(F.lit("can't move "), "src", F.lit(" into itself")))
         .when(F.col("_taken").isNotNull() | (F.col("src") != F.min("src").over(first)), F.concat(F.lit("Already exists: "), "dest"))
     )
-    rated = asked.join(there, "src", "left").join(along, "src", "left").join(taken, "dest", "left").withColumn("_why", why)
+    rated = cut(asked.join(there, "src", "left").join(along, "src", "left").join(taken, "dest", "left").withColumn("_why", why), "moves")
     good = rated.where("_why is null").select("src", "dest")
 
-    def moved(rows: DataFrame, column: str, to: str) -> DataFrame:
-        """With the new path of a column of plain paths, where a move has it."""
-        plain = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("_p")).distinct()
-        hit = plain.select("_p", F.explode(F.concat(P.ancestors_col(F.col("_p")), F.array("_p"))).alias("src")).join(good, "src")
-        new = hit.select("_p", F.concat("dest", F.substr("_p", F.length("src") + 1)).alias(to))
-        return rows.join(new, F.col(column) == F.col("_p"), "left").drop("_p")
-
     own, edge = F.col("path"), F.col("kind") == "edge"
     meta = own.startswith(P.META + "/")
     rows = alive.withColumn("_own", F.when(~edge, F.when(meta, F.regexp_replace(F.substr("path", F.lit(len(P.META) + 1)), f"/{P.FRAME}(/.*)?$", "")).otherwise(own)))
-    rows = moved(moved(moved(rows, "_own", "_to_own"), "source_path", "_to_source"), "target_path", "_to_target")
+    plain = rows.select(F.explode(F.array_compact(F.array("_own", "source_path", "target_path"))).alias("_p")).distinct()
+    hit = plain.select("_p", F.explode(F.concat(P.ancestors_col(F.col("_p")), F.array("_p"))).alias("src")).join(good, "src")
+    new = cut(hit.select("_p", F.concat("dest", F.substr("_p", F.length("src") + 1)).alias("_to")), "moves")
+    for column, to in (("_own", "_to_own"), ("source_path", "_to_source"), ("target_path", "_to_target")):
+        rows = rows.join(new.select(F.col("_p").alias(column), F.col("_to").alias(to)), column, "left")
     source, target = F.coalesce("_to_source", "source_path"), F.coalesce("_to_target", "target_path")
     tail = F.substr("path", F.length("_own") + len(P.META) + 1)
     to = F.when(edge & (F.col("_to_source").isNotNull() | F.col("_to_target").isNotNull()), P.edge_out_col(source, target, F.col("edge_type"))).when(~edge & meta, F.concat(F.lit(P.META), "_to_own", tail)).when(~edge, F.col("_to_own"))
-    changed = rows.withColumn("_to", to).where("_to is not null")
+    changed = cut(rows.withColumn("_to", to).where("_to is not null"), "moves")
     shifted = changed.withColumns({"original_path": own, "source_path": F.when(edge, source), "target_path": F.when(edge, target), "path": F.col("_to"), "updated_at": now})
     shifted = shifted.withColumns({"name": P.name_col(F.col("path")), "parent_path": P.parent_col(F.col("path")), "ext": F.when(F.col("kind") == "file", P.extension_col(F.col("path")))}).select(*NAMES)
     rest = entries.join(changed.select("path"), "path", "left_anti").join(shifted.select("path"), "path", "left_anti")
