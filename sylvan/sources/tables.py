@@ -131,7 +131,7 @@ def line_chunks(files: DataFrame, size: int = 65536, overlap: int = 0) -> DataFr
     return rows.join(before, ["path", "chunk_no"], "left").select("path", "chunk_no", (F.col("line_start") - F.coalesce(F.size("tail"), F.lit(0))).alias("line_start"), "line_end", F.concat_ws("\n", F.array_join("tail", "\n"), "content").alias("content"))
 
 
-def token_windows(files: DataFrame, size: int = 512, overlap: int = 64, token: str = r"\\w+|[^\\w\\s]") -> DataFrame:
+def token_windows(files: DataFrame, size: int = 512, overlap: int = 64, token: str = r"\w+|[^\w\s]") -> DataFrame:
     """(path, chunk_no, token_start, token_end, tokens): windows of ``size`` tokens, of which ``overlap`` are shared with the next one.
 
     The last window ends with the text; a text without tokens has none. A window is cut from
