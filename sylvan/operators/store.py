@@ -74,10 +74,11 @@ def write(entries: DataFrame, rows: DataFrame, overwrite: bool = True, now: Colu
     met = staged.join(old, "path", "left")
     if not overwrite:
         met = met.withColumn("_why", F.coalesce("_why", F.when(F.col("_live") & (F.col("_kind") == "file"), F.lit("already exists"))))
-    # a chunk needs its file, live or in the batch
-    owners = live(entries).where("kind = 'file'").select("path").unionByName(staged.where("_why is null and kind = 'file'").select("path")).distinct().select(F.col("path").alias("_owner"), F.lit(True).alias("_owned"))
-    owner = F.when(F.col("kind") == "chunk", F.regexp_extract("path", r"^/\.meta(/.+?)/__meta__/", 1))
-    met = met.withColumn("_owner", owner).join(owners, "_owner", "left").withColumn("_why", F.coalesce("_why", F.when((F.col("kind") == "chunk") & F.col("_owned").isNull(), F.lit("the chunk's file is missing"))))
+    # a chunk needs its file, live or in the batch; only chunks are joined with owners, as rows without one would all meet in one task
+    owners = live(entries).where("kind = 'file'").select("path").unionByName(staged.where("_why is null and kind = 'file'").select("path")).select(F.col("path").alias("_owner"))
+    chunks = staged.where("kind = 'chunk'").select("path", F.regexp_extract("path", r"^/\.meta(/.+?)/__meta__/", 1).alias("_owner"))
+    lone = chunks.join(owners, "_owner", "left_anti").select("path", F.lit(True).alias("_lone")).distinct()
+    met = met.join(lone, "path", "left").withColumn("_why", F.coalesce("_why", F.when(F.col("_lone"), F.lit("the chunk's file is missing"))))
     last = live(entries).where("kind = 'version'").select(F.regexp_extract("path", _OF_VERSION, 1).alias("_file"), F.col("version_number").alias("_at"), F.coalesce("content_hash", F.when(F.col("is_snapshot"), F.sha2("content", 256))).alias("_kept"))
     met = met.join(last, (F.col("path") == F.col("_file")) & (F.col("_version") == F.col("_at")), "left")
     # the batch with what was found of it is looked up once; all that follows reads it
