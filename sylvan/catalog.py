@@ -542,9 +542,7 @@ def user_scope(spark, d):
 
 @query(files() + "SELECT gram, count(*) AS n, count(DISTINCT path) AS files FROM (SELECT path, unnest(list_transform(range(1, length(content) - 1), lambda i: substring(lower(content), i, 3))) AS gram FROM files WHERE length(content) >= 3) GROUP BY gram")
 def trigram_postings(spark, d):
-    rows = T.text_files(spark, d).where("length(content) >= 3").select("path", F.lower("content").alias("t"))
-    grams = rows.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda k: F.substring(F.col("t"), k, F.lit(3)))).alias("gram"))
-    return grams.groupBy("gram", "path").count().groupBy("gram").agg(F.sum("count").alias("n"), F.count("*").alias("files"))
+    return L.trigrams(T.text_files(spark, d))
 
 
 _CHUNKS = (

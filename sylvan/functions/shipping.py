@@ -1,4 +1,4 @@
-"""Lets Python workers import this package; on a cluster ``--py-files`` does the same."""
+"""Lets Python workers import this package, as ``--py-files`` does on a cluster, and keeps what they take at once small."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import SparkSession
 
+#: Rows hold whole texts, so that the default of 10,000 would be hundreds of megabytes a worker; an explicit setting of the user stays.
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -17,3 +19,5 @@ def ship(spark: SparkSession | None = None) -> None:
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
+    if spark.conf.get(BATCH_KEY, "10000") == "10000":
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.functions import text as X
+from sylvan.functions.shipping import ship
 from sylvan.operators.relation import Relation
 from sylvan.operators.scan import live
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Texts of so many characters, and one more, are counted at once.
+GRAM_CHARACTERS = 2_000_000
 
 
 def corpus(entries: DataFrame, candidates: Relation | None = None) -> DataFrame:
@@ -65,3 +71,44 @@ def lexical_search(entries: DataFrame, query: str, k: int = 15, candidates: Rela
     wide = F.broadcast(best.df.select("path", "score", "_rank"))  # k rows
     rows = docs.select("path", "kind", "content", "size_bytes", "updated_at").join(wide, "path")
     return Relation.by_path(rows, "lexical_search")
+
+
+def trigrams(files: DataFrame) -> DataFrame:
+    """(gram, n, files): how often each three characters of lower-case texts follow each other, and in how many paths.
+
+    Texts are counted as arrays of characters where they lie; only grams with their counts are shuffled.
+    """
+    ship()
+    texts = files.where("length(content) >= 3").groupBy("path").agg(F.collect_list(F.lower("content")).alias("texts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some, size = [], 0
+            for own in batch.column(0):
+                some.append([t for t in own.as_py() if len(t) >= 3])
+                size += sum(map(len, some[-1]))
+                if size >= GRAM_CHARACTERS:
+                    yield _count_grams(some)
+                    some, size = [], 0
+            if size:
+                yield _count_grams(some)
+
+    found = texts.select("texts").mapInArrow(run, "gram string, n long, files long")
+    return found.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("files").alias("files"))
+
+
+def _count_grams(texts: list[list[str]]) -> pa.RecordBatch:
+    """Of a list for each path. A gram is 63 bits, 21 a character."""
+    flat = [t for own in texts for t in own]
+    length = np.array([len(t) for t in flat])
+    path = np.repeat(np.arange(len(texts)), [len(own) for own in texts])
+    c = np.frombuffer("".join(flat).encode("utf-32-le"), np.uint32).astype(np.int64)
+    key = c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+    inner = np.ones(len(c), bool)
+    ends = np.cumsum(length)
+    inner[ends - 1] = inner[ends - 2] = False
+    grams, code = np.unique(key[inner[: len(key)]], return_inverse=True)
+    pairs = np.unique(code * len(texts) + np.repeat(path, length - 2))
+    names = [chr(k >> 42) + chr(k >> 21 & 0x1FFFFF) + chr(k & 0x1FFFFF) for k in grams.tolist()]
+    counts = [np.bincount(x, minlength=len(grams)) for x in (code, pairs // len(texts))]
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array(x, pa.int64()) for x in counts)], ["gram", "n", "files"])
