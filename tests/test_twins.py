@@ -50,3 +50,18 @@ def test_classes_against_searches(spark):
     assert len(t.size) < 30 and t.size.sum() == g.n
     ranks, want = Gr.pagerank_twins(t), dict(zip(g.paths.tolist(), Gr.pagerank_arrays(g)))
     assert {x["path"]: ranks[x["cls"]] for x in t.nodes.collect()} == pytest.approx(want)
+
+
+def test_large_forms_equal_small_ones(spark, monkeypatch):
+    """Above the bound edges are counted, not fetched up to a limit, and the joins and classes give the same."""
+    r = random.Random(3)
+    df = spark.createDataFrame(sorted({(f"/v{r.randint(0, 24)}", f"/v{r.randint(0, 24)}") for _ in range(40)} | {("/z", "/v1"), ("/z", "/v2"), ("/v3", "/y1"), ("/v3", "/y2"), ("/y1", "/v3")}), "src string, dst string")
+
+    def results():
+        found = [Gr.ancestors(df, ["/v3", "/no"]), Gr.neighborhood(df, ["/v3"])]
+        return [sorted(x["path"] for x in rel.df.collect()) for rel in found], {x["path"]: x["score"] for x in Gr.hits(df, rounds=20, tolerance=None).df.collect()}
+
+    small, scores = results()
+    monkeypatch.setattr(Gr, "fetched", lambda one: None)
+    large, others = results()
+    assert small[0] and large == small and others == pytest.approx(scores)
