@@ -228,7 +228,7 @@ class Twins:
 
 
 def twins(edges: DataFrame, loops: bool = True) -> Twins | None:
-    """The classes of a graph, found by 128-bit hashes of the sets of predecessors; None where classes or links are too many for arrays. Without loops, edges of nodes to themselves count in degrees alone."""
+    """The classes of a graph, found by 128-bit hashes of the sets of predecessors. None where classes or links are too many for arrays. Without loops, edges of nodes to themselves count in degrees alone."""
     one = cut(pairs(edges), "edges")
     own = F.lit(True) if loops else F.col("src") != F.col("dst")
     mark = lambda *x: F.when(own, F.xxhash64(*x, "src"))
@@ -536,11 +536,36 @@ def betweenness_joins(edges: DataFrame) -> DataFrame:
     return rows.where("root <> path").groupBy("path").agg((F.sum("part") * scale).alias("score")).join(nodes(one), "path", "right").select("path", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, in order."""
+    by = np.lexsort((b, a))
+    a, b = a[by], b[by]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, bool)
+    return a[new], b[new]
+
+
+def _groups(t: Twins) -> np.ndarray:
+    """A number by class, the same where the same classes point to them: 128-bit sums of these are compared."""
+    k = len(t.size)
+    by = np.argsort(t.to, kind="stable")
+    to, sums = t.to[by], np.zeros((2, k), np.uint64)
+    if len(to):
+        first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+        for row, marks in zip(sums, np.random.default_rng(1).integers(0, 2**64, (2, k), np.uint64)):
+            row[to[first]] = np.add.reduceat(marks[t.own[by]], first)
+    order = np.lexsort(sums)
+    group = np.empty(k, np.int64)
+    group[order] = np.cumsum((np.diff(sums[:, order], axis=1, prepend=sums[:, order[:1]]) != 0).any(0))
+    return group
+
+
 def closeness_centrality(edges: DataFrame, candidates: Iterable[str] | DataFrame | Relation | None = None) -> Relation:
     """(reaching - 1) / sum of distances to the node, times (reaching - 1) / (n - 1).
 
     A class is as far from a source for all its nodes but the source itself, so each class
-    has sums, from which a node's way back to itself is taken; 64 sources share a word.
+    has sums, from which a node's way back to itself is taken. Classes that the same classes
+    point to (a group) are as far from all sources but those that point to them: a source is
+    searched over groups, and its own edges are set right one by one. 64 sources share a word.
     """
     one = cut(pairs(edges), "edges")
     t = twins(one, loops=False)
@@ -550,34 +575,49 @@ def closeness_centrality(edges: DataFrame, candidates: Iterable[str] | DataFrame
         got = d.groupBy("path").agg(F.count("*").alias("k"), F.sum("dist").alias("far"))
         return _scored(one, got.select("path", F.when(F.col("far") > 0, (F.col("k") - 1) / F.col("far") * (F.col("k") - 1) / (n - 1)).otherwise(0.0).alias("score")), "closeness_centrality", candidates)
     n, k = int(t.size.sum()), len(t.size)
-    by = np.argsort(t.to, kind="stable")
-    own, to = t.own[by], t.to[by]
-    first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.empty(0, int)
-    rows = to[first]
+    group = _groups(t)
+    g = int(group.max(initial=-1)) + 1
+    # groups whose nodes are reached in two steps over a class, by class; groups that hold what points to a group
+    over, far_on = _distinct(t.own, group[t.to])
+    begin = np.searchsorted(over, np.arange(k + 1))
+    rows, own = _distinct(group[t.to], group[t.own])
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.empty(0, int)
+    rows = rows[first]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         far, reached = np.zeros(k, np.int64), np.zeros(k, np.int64)
+        far_group, reached_group = np.zeros(g, np.int64), np.zeros(g, np.int64)
         for batch in batches:
             cls, at, lists = _lists(batch)
             back = np.zeros(len(cls), np.int64)
             for j in range(0, len(cls), 64):
                 some = cls[j : j + 64]
                 bit = np.uint64(1) << np.arange(len(some), dtype=np.uint64)
-                level = np.zeros(k, np.uint64)
-                np.bitwise_or.at(level, lists[at[j] : at[j + len(some)]], np.repeat(bit, np.diff(at[j : j + len(some) + 1])))
-                seen, depth = level.copy(), 1
+                near = lists[at[j] : at[j + len(some)]]
+                bits = np.repeat(bit, np.diff(at[j : j + len(some) + 1]))
+                met, place = np.unique(near, return_inverse=True)
+                share = np.zeros(len(met), np.uint64)
+                np.bitwise_or.at(share, place, bits)
+                level = np.zeros(g, np.uint64)
+                np.bitwise_or.at(level, far_on[_ranges(begin[met], begin[met + 1])], np.repeat(share, begin[met + 1] - begin[met]))
+                seen, depth, to, mine = level.copy(), 1, group[near], group[some]
+                around = np.zeros(len(near), np.int64)
                 while level.any():
                     new = np.bitwise_count(level).astype(np.int64)
-                    far, reached = far + depth * new, reached + new
-                    back[j : j + len(some)] += np.where(level[some] & bit, depth, 0)
-                    after = np.zeros(k, np.uint64)
+                    far_group, reached_group = far_group + (depth + 1) * new, reached_group + new
+                    around += np.where(level[to] & bits, depth + 1, 0)
+                    back[j : j + len(some)] += np.where(level[mine] & bit, depth + 1, 0)
+                    after = np.zeros(g, np.uint64)
                     if len(first):
                         after[rows] = np.bitwise_or.reduceat(level[own], first)
                     level = after & ~seen
                     seen |= level
                     depth += 1
+                # what a source points to is 1 away, whatever its group has
+                np.add.at(far, near, 1 - around)
+                np.add.at(reached, near, (around == 0).astype(np.int64))
             yield out(batch.column("path"), cls, back, np.zeros(len(cls), np.int64))
-        yield out(pa.nulls(k, pa.string()), np.arange(k), far, reached)
+        yield out(pa.nulls(k, pa.string()), np.arange(k), far + far_group[group], reached + reached_group[group])
 
     def out(path, cls, far, reached):
         return pa.RecordBatch.from_arrays([path, pa.array(cls, pa.int32()), pa.array(far, pa.int64()), pa.array(reached, pa.int64())], ["path", "cls", "far", "reached"])
