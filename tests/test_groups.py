@@ -33,3 +33,32 @@ def test_closeness_searches_groups_of_classes(spark):
         assert value(Gr.closeness_centrality(df)) == pytest.approx(plain(edges)[1])
     assert sizes[1] < sizes[0] + 10
 
+
+def test_classes_are_not_bounded_by_edges(spark, monkeypatch):
+    """Links between classes are numbers: more of them are held than edges of paths, before joins take over."""
+    edges = ring(40, 20)
+    df = spark.createDataFrame(edges, "src string, dst string")
+    near, ranks = plain(edges)[1], value(Gr.pagerank(df, rounds=20, tolerance=None))
+
+    def no(*_):
+        raise AssertionError("joined round by round")
+
+    monkeypatch.setattr(Gr, "LOCAL_EDGES", 50)
+    monkeypatch.setattr(Gr, "all_distances", no)
+    monkeypatch.setattr(Gr, "pagerank_joins", no)
+    assert value(Gr.closeness_centrality(df)) == pytest.approx(near)
+    assert value(Gr.pagerank(df, rounds=20, tolerance=None)) == pytest.approx(ranks)
+
+
+def test_distinct_edges_are_written_once(spark, monkeypatch):
+    """Ranks of large graphs sort and write their edges one time."""
+    made, cut = [], Gr.cut
+
+    def keep(df, name="cut"):
+        made.append(name)
+        return cut(df, name)
+
+    monkeypatch.setattr(Gr, "cut", keep)
+    monkeypatch.setattr(Gr, "LOCAL_EDGES", 50)
+    Gr.pagerank(spark.createDataFrame(ring(40, 20), "src string, dst string"), rounds=2, tolerance=None)
+    assert made.count("edges") == 1
