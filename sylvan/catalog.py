@@ -477,10 +477,9 @@ _HISTORY = "h AS (SELECT '/src/' || lang || '/' || source || '.md' AS path, row_
 
 def _history(spark, d) -> DataFrame:
     """Documents of one language and source as successive versions of one file."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("lang", "source").orderBy("doc_id")
-    rows = T.table(spark, d, "documents").select(F.concat(F.lit("/src/"), "lang", F.lit("/"), "source", F.lit(".md")).alias("path"), F.col("text").alias("content"), F.lag("text").over(w).alias("_prev"), F.row_number().over(w).alias("n"))
+    key = ("lang", "source", "doc_id")
+    docs = T.table(spark, d, "documents").select(*key, "text")
+    rows = W.numbered(docs, key[:2], key[2], "text").select(F.concat(F.lit("/src/"), "lang", F.lit("/"), "source", F.lit(".md")).alias("path"), F.col("text").alias("content"), "_prev", "n")
     return W.version_rows(rows, F.lit("2020-01-01").cast("timestamp"))
 
 

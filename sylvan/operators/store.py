@@ -23,6 +23,8 @@ from sylvan.sources.staging import cut
 from sylvan.sources.tables import derive
 
 NAMES = ENTRY.fieldNames()
+#: Numbers of a history whose texts one task may take together.
+RUN = 1000
 _OF_VERSION = r"^/\.meta(/.+)/__meta__/versions/"
 
 
@@ -106,6 +108,27 @@ def write(entries: DataFrame, rows: DataFrame, overwrite: bool = True, now: Colu
     return Change(kept.select(*NAMES).unionByName(added.select(*NAMES)), _touched(new, "write"), errors, added.select(*NAMES))
 
 
+def numbered(rows: DataFrame, own: Iterable[str], by: str, text: str) -> DataFrame:
+    """The rows with their number ``n`` among those of the same ``own`` in the order of ``by``, and the text before theirs as ``_prev``.
+
+    Numbers are taken from keys alone and texts meet in runs of RUN numbers, so that no task
+    reads all texts of one file.
+    """
+    own = list(own)
+    key = [*own, by]
+    before = Window.partitionBy(*own).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*key).agg(F.count("*").alias("_m")).select(*(F.col(c).alias(f"_{c}") for c in key), F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_start"))
+    each = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*key).orderBy(by)))
+    same = F.lit(True)
+    for c in key:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    each = each.join(starts, same).withColumn("n", (F.col("_start") + F.col("_at")).cast("int"))
+    run = F.floor(F.col("n") / RUN)
+    # the last of a run is also the one before the next run's first
+    each = each.withColumn("_run", F.explode(F.when(F.col("n") % RUN == RUN - 1, F.array(run, run + 1)).otherwise(F.array(run))))
+    return each.withColumn("_prev", F.lag(text).over(Window.partitionBy(*own, "_run").orderBy("n"))).where(F.col("_run") == run).select(*rows.columns, "n", "_prev")
+
+
 def version_rows(files: DataFrame, now: Column) -> DataFrame:
     """Version entries of (path, content, _prev, n[, by]): a snapshot for the first, every tenth, and without a predecessor; else a diff. Each has the hash of its text."""
     ship()
@@ -127,11 +150,14 @@ def reconstruct(entries: DataFrame) -> DataFrame:
     """(path, version_number, content) of every stored version, replayed from the snapshot before it.
 
     Chains are cut at snapshots, so a group has at most ten rows however long the history.
+    Snapshots are looked for among numbers alone: with its texts, a file's history would be one task's.
     """
     own = entries.where("kind = 'version'").select(F.regexp_extract("path", _OF_VERSION, 1).alias("path"), "version_number", "is_snapshot", F.coalesce("content", "version_diff").alias("stored"))
     ship()
+    own = cut(own, "versions")
     w = Window.partitionBy("path").orderBy("version_number")
-    chains = own.withColumn("base", F.max(F.when(F.col("is_snapshot"), F.col("version_number"))).over(w))
+    bases = own.select("path", "version_number", F.max(F.when(F.col("is_snapshot"), F.col("version_number"))).over(w).alias("base")).distinct()
+    chains = own.join(bases, ["path", "version_number"], "left")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("version_number")
