@@ -72,7 +72,9 @@ def write(entries: DataFrame, rows: DataFrame, overwrite: bool = True, now: Colu
     staged = staged.withColumn("_n", F.count("*").over(Window.partitionBy("path")))
     why = F.when(F.col("_n") > 1, F.lit("path occurs more than once in the batch")).otherwise(refused_col(F.col("path"), F.col("kind")))
     staged = staged.withColumn("_why", why)
-    old = entries.select("path", F.col("content").alias("_old"), F.col("content_hash").alias("_hash"), F.col("kind").alias("_kind"), F.col("deleted_at").isNull().alias("_live"), F.col("version_number").alias("_version"), F.col("owner_id").alias("_belongs"))
+    # what the batch meets is found among paths alone, and written so that its size is known: few paths are sent to where the texts lie
+    hit = cut(entries.select("path").join(staged.select("path"), "path", "left_semi"), "hits")
+    old = entries.join(hit, "path", "left_semi").select("path", F.col("content").alias("_old"), F.col("content_hash").alias("_hash"), F.col("kind").alias("_kind"), F.col("deleted_at").isNull().alias("_live"), F.col("version_number").alias("_version"), F.col("owner_id").alias("_belongs"))
     met = staged.join(old, "path", "left")
     if not overwrite:
         met = met.withColumn("_why", F.coalesce("_why", F.when(F.col("_live") & (F.col("_kind") == "file"), F.lit("already exists"))))
@@ -230,6 +232,7 @@ def mkedge(entries: DataFrame, links: DataFrame, now: Column | None = None) -> C
 
 def copy(entries: DataFrame, pairs: DataFrame, overwrite: bool = True, now: Column | None = None, owner: str | None = None) -> Change:
     """(src, dest): content alone is copied; the copy belongs to ``owner``."""
+    pairs = cut(pairs, "pairs")
     found = pairs.join(live(entries).select(F.col("path").alias("src"), "content"), "src")
     lost = pairs.join(live(entries).select(F.col("path").alias("src")), "src", "left_anti").select(F.col("src").alias("path"), F.concat(F.lit("Not found: "), "src").alias("error"))
     done = write(entries, found.select(F.col("dest").alias("path"), "content", F.lit(owner).cast("string").alias("owner_id")), overwrite, now)
@@ -330,7 +333,7 @@ def edit(entries: DataFrame, wanted: Iterable[str] | DataFrame | Relation, edits
             out.append((None if error else t, error))
         return pd.DataFrame(out, columns=["content", "error"])
 
-    tried = rows.select("path", run("content").alias("x"))
+    tried = cut(rows.select("path", run("content").alias("x")), "edits")
     done = write(entries, tried.where("x.error is null").select("path", F.col("x.content").alias("content")), now=now)
     lost = seeds(entries, wanted).join(rows.select("path"), "path", "left_anti").select("path", F.concat(F.lit("Not found: "), "path").alias("error"))
     errors = done.errors.unionByName(tried.where("x.error is not null").select("path", F.col("x.error").alias("error"))).unionByName(lost)
